@@ -1,3 +1,5 @@
 """Operators for training data; nothing else in the library imports this package."""
 
-MODULES: list = []
+from tallyflow.llm import association_queries
+
+MODULES = [association_queries]
