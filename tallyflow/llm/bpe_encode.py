@@ -28,6 +28,8 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fragments remembered by a worker, and the longest one worth remembering.
 MEMORY, LONGEST = 400_000, 64
+#: Bytes of text encoded at a time (a longer text is encoded alone, still whole).
+SLICE = 1 << 21
 
 
 @lru_cache(maxsize=4)
@@ -132,9 +134,15 @@ def encode_documents(documents: DataFrame, text: str = "text", key: str = "doc_i
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
             buffer = texts.buffers()[2]
             data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None and n else np.zeros(0, np.uint8)
-            ids, starts = encoder.encode_batch(data, offsets - offsets[0])
-            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keep], lists], [*keep, "ids"])
+            offsets = offsets - offsets[0]
+            kept = [b.column(b.schema.get_field_index(k)) for k in keep]
+            lo = 0
+            while lo < n:
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1)
+                ids, starts = encoder.encode_batch(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in kept], lists], [*keep, "ids"])
+                lo = hi
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", ids array<int>"
     return documents.select(*keep, text).mapInArrow(run, schema)
