@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.llm.pair_association import association, exceeds, information, pack, sorted_pair_counts
-from tallyflow.sources.tables import read_table
+from tallyflow.sources.tables import cut, read_table
 
 PAIRS = ("ya", "yb", "ab")
 #: Symbols take 20 bits each, run and pair together the other 23.
@@ -19,7 +19,8 @@ def _cells(spark: SparkSession, sf: str) -> DataFrame:
     rows = read_table(spark, sf, "sparse_counts").filter((F.col("n") >= 1) & (F.col("k1") != F.col("k2")))
     pair = F.when(F.col("pair") == "ya", 0).when(F.col("pair") == "yb", 1).when(F.col("pair") == "ab", 2)
     code = pack(F.col("run_id") * 3 + pair, SYMBOL_BITS, F.least("k1", "k2"), F.greatest("k1", "k2"))
-    counted = sorted_pair_counts(rows.select("count_id", code.alias("code"), "n"), "count_id", "code", "n")
+    # The margins and both ends of a pair read the counts again: they are written once.
+    counted = cut(sorted_pair_counts(rows.select("count_id", code.alias("code"), "n"), "count_id", "code", "n"), "pairs")
     group = F.shiftright("code", 2 * SYMBOL_BITS)
     mask = (1 << SYMBOL_BITS) - 1
     return counted.select(
