@@ -17,7 +17,8 @@ DEPTH = 2
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    # Adding zero turns a rounded -0.0 into 0.0.
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
 
 
 def _state_bits(s: SparkSession, d: str) -> DataFrame:
