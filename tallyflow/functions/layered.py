@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Grid step, right end of the grid, and the slowest decay of the left end needed per layer.
 STEP, RIGHT = 0.1, 35.0
+#: Moment columns that a worker remembers.
+MOST_COLUMNS = 1500
 EULER = 0.5772156649015329
 LN2 = math.log(2.0)
 
@@ -45,6 +47,8 @@ class Moments:
     def column(self, r: int) -> np.ndarray:
         """depth x len(u)."""
         if r not in self.columns:
+            if len(self.columns) >= MOST_COLUMNS:
+                self.columns.clear()
             u, g = self.u, math.lgamma(r + 1)
             out = np.empty((self.depth, len(u)))
             out[0] = g - (r + 1) * np.logaddexp(0, u)
@@ -72,10 +76,7 @@ class Moments:
         view = np.lib.stride_tricks.sliding_window_view(last, len(v))
         out, peak = np.empty(n), np.empty(n, np.int64)
         for a in range(0, n, 256):
-            x = view[a : a + 256] + kernel
-            peak[a : a + 256] = x.argmax(1)
-            top = x.max(1)
-            out[a : a + 256] = top + np.log(STEP * np.exp(x - top[:, None]).sum(1))
+            peak[a : a + 256] = (view[a : a + 256] + kernel).argmax(1)
         row = np.arange(n)
         at = peak + v[0]  # the peak in grid units of v
 
@@ -84,7 +85,7 @@ class Moments:
 
         x = at.astype(float)
         h = 0.2
-        for _ in range(8):
+        for _ in range(6):
             base = row + x - v[0]
             f0, f1, f2 = phi(base - h), phi(base), phi(base + h)
             e = np.exp(x * STEP)
@@ -92,14 +93,19 @@ class Moments:
             slope = (f2 - f0) / (2 * h) + (r + 1) * STEP - e * STEP
             x = np.clip(x + np.clip(-slope / np.minimum(curve, -1e-12), -1, 1), at - 2, at + 2)
         width = 1 / np.sqrt(np.maximum(-curve, 1e-12))
+        wide = np.flatnonzero(width >= 3)
+        for a in range(0, len(wide), 256):
+            y = view[wide[a : a + 256]] + kernel
+            top = y.max(1)
+            out[wide[a : a + 256]] = top + np.log(STEP * np.exp(y - top[:, None]).sum(1))
         narrow = np.flatnonzero(width < 3)
-        z = np.arange(-48, 49) * 0.25
+        z = np.arange(-24, 25) * 0.5
         for a in range(0, len(narrow), 2048):
             i = narrow[a : a + 2048]
             p = x[i, None] + width[i, None] * z
             y = (r + 1) * p * STEP - np.exp(p * STEP) + phi(np.clip(i[:, None] + p - v[0], NODES, len(last) - NODES - 1))
             top = y.max(1)
-            out[i] = top + np.log(0.25 * STEP * width[i] * np.exp(y - top[:, None]).sum(1))
+            out[i] = top + np.log(0.5 * STEP * width[i] * np.exp(y - top[:, None]).sum(1))
         return out
 
 
@@ -122,17 +128,18 @@ def _weights() -> np.ndarray:
 
 def _interpolate(values: np.ndarray, position: np.ndarray) -> np.ndarray:
     """Values of a grid function between its points, by NODES neighbours."""
-    left = np.floor(position).astype(np.int64)
-    left = np.clip(left, NODES // 2 - 1, len(values) - NODES // 2 - 1)
-    f = position - left
-    at = np.arange(NODES) - (NODES // 2 - 1)
-    out = np.zeros(position.shape)
+    left = np.clip(np.floor(position).astype(np.int64), NODES // 2 - 1, len(values) - NODES // 2 - 1)
+    first = left - (NODES // 2 - 1)
+    away = [position - first - i for i in range(NODES)]
+    # Products of the distances before and after each node give all weights in a few passes.
+    before, after = [np.ones_like(position)], [np.ones_like(position)]
+    for i in range(NODES - 1):
+        before.append(before[-1] * away[i])
+        after.append(after[-1] * away[NODES - 1 - i])
+    out = np.zeros_like(position)
     for i in range(NODES):
-        w = np.ones(position.shape)
-        for j in range(NODES):
-            if i != j:
-                w = w * ((f - at[j]) / (at[i] - at[j]))
-        out += w * values[left + at[i]]
+        scale = math.factorial(i) * math.factorial(NODES - 1 - i) * (-1) ** (NODES - 1 - i)
+        out += before[i] * after[NODES - 1 - i] * values[first + i] / scale
     return out
 
 
@@ -221,7 +228,10 @@ def score_profiles(profiles: DataFrame, alphabet: int, depths: int | None = None
         for b in batches:
             yield b.assign(bits=[-log2_q(list(p), alphabet, depths) for p in b[profile]])
 
-    return profiles.repartition(F.xxhash64(profile)).mapInPandas(run, ", ".join(kind) + ", bits double")
+    # A given number of partitions isn't merged afterwards: scoring is costly although its rows are few.
+    session = profiles.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return profiles.repartition(parts, F.xxhash64(profile)).mapInPandas(run, ", ".join(kind) + ", bits double")
 
 
 def state_bits(with_profiles: DataFrame, groups: list[str], alphabet: int, depths: int | None = None) -> DataFrame:

@@ -233,7 +233,7 @@ QUERIES = {
     "event_pairs": lambda s, d: ordered.lagged_counts(read_table(s, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", 1),
     "event_contexts": lambda s, d: ordered.lagged_counts(read_table(s, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", 2),
     "order_status_pairs": lambda s, d: ordered.lagged_counts(read_table(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderstatus", 1),
-    "returnflag_pairs": lambda s, d: ordered.lagged_counts(read_table(s, d, "lineitem"), ["l_orderkey"], ["l_linenumber"], "l_returnflag", 1),
+    "returnflag_pairs": lambda s, d: ordered.lagged_counts(read_table(s, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], "l_returnflag", 1),
     "global_pair_counts": lambda s, d: ordered.lagged_counts(tokens(s, d).select("doc_id", F.posexplode("syms").alias("pos", "sym")), [], ["doc_id", "pos"], "sym", 1),
     "streaming_counts": lambda s, d: streamed.incremental_counts(s, f"{d}/events.parquet", ["event_type"]),
     "streaming_windows": lambda s, d: streamed.windowed_counts(s, f"{d}/events.parquet", "ts", "event_type"),
@@ -306,7 +306,7 @@ ORACLE = {
     "event_pairs": "SELECT y, x1, count(*) AS n FROM (SELECT event_type AS y, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x1 FROM events) WHERE x1 IS NOT NULL GROUP BY ALL",
     "event_contexts": "SELECT y, x1, x2, count(*) AS n FROM (SELECT event_type AS y, lag(event_type) OVER w AS x1, lag(event_type, 2) OVER w AS x2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE x2 IS NOT NULL GROUP BY ALL",
     "order_status_pairs": "SELECT y, x1, count(*) AS n FROM (SELECT o_orderstatus AS y, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS x1 FROM orders) WHERE x1 IS NOT NULL GROUP BY ALL",
-    "returnflag_pairs": "SELECT y, x1, count(*) AS n FROM (SELECT l_returnflag AS y, lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS x1 FROM lineitem) WHERE x1 IS NOT NULL GROUP BY ALL",
+    "returnflag_pairs": "SELECT y, x1, count(*) AS n FROM (SELECT l_returnflag AS y, lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS x1 FROM lineitem) WHERE x1 IS NOT NULL GROUP BY ALL",
     "global_pair_counts": f"WITH {TOK} SELECT y, x1, count(*) AS n FROM (SELECT sym AS y, lag(sym) OVER (ORDER BY doc_id, pos) AS x1 FROM tok) WHERE x1 IS NOT NULL GROUP BY ALL",
     "streaming_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "streaming_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",

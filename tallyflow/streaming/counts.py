@@ -18,8 +18,13 @@ from tallyflow.sources.tables import shared_dir
 
 def _stream(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataFrame:
     """A stream of the Parquet files of a table (one file or a folder)."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch)
+    if files.getFileStatus(where).isFile():
+        return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    return reader.parquet(path)
 
 
 def _drain(stream: DataFrame, spark: SparkSession, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -45,7 +50,9 @@ def windowed_counts(spark: SparkSession, path: str, time: str, key: str, width:
     watermark are dropped by the engine, so ``late`` has to cover the lateness that counts.
     """
     base = f"{shared_dir(spark).rstrip('/')}/tallyflow/windows-{uuid.uuid4().hex}"
-    counted = _stream(spark, path).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
+    timed = _stream(spark, path).withColumn(time, F.col(time).cast("timestamp"))
+    windows = timed.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"))
+    counted = windows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), key, "n")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/batch={number}")
