@@ -40,6 +40,17 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
+def _written(value) -> str:
+    """JSON text of a value, numbers as they stood."""
+    if isinstance(value, _Lexeme):
+        return str(value)
+    if isinstance(value, list):
+        return "[" + ", ".join(map(_written, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{json.dumps(k)}: {_written(v)}" for k, v in value.items()) + "}"
+    return json.dumps(value)
+
+
 def leaves_of(payload: str | None) -> list[tuple[str, str, str | None]] | None:
     """The leaves of a payload, sorted by path; None if it can't be read as a JSON object.
 
@@ -73,7 +84,7 @@ def leaves_of(payload: str | None) -> list[tuple[str, str, str | None]] | None:
             elif isinstance(value, str):
                 found[path] = ("text", value)
             else:
-                found[path] = ("list", json.dumps(value))
+                found[path] = ("list", _written(value))
     return [(p, *found[p]) for p in sorted(found)]
 
 
@@ -104,7 +115,8 @@ def parse_files(files: DataFrame) -> DataFrame:
 # every file of the segment since its start, so what came before may still supply the alternative.
 
 
-def _step(fields: dict, leaves, whole_history: bool) -> dict:
+def _step(fields: dict, leaves) -> dict:
+    """The state after a file."""
     new = {}
     for leaf in leaves:
         was = fields.get(leaf["path"])
@@ -118,10 +130,6 @@ def _step(fields: dict, leaves, whole_history: bool) -> dict:
     return new
 
 
-def _number(text: str) -> float:
-    return float(text)
-
-
 def compare(fields: dict, leaves) -> list[tuple[str, str, str]]:
     """The changes from the state before a file to that file: (kind, before, after).
 
@@ -135,10 +143,10 @@ def compare(fields: dict, leaves) -> list[tuple[str, str, str]]:
         _, tag, text = fields[g]
         if tag not in NUMERIC:
             continue
-        a = _number(text)
+        a = float(text)
         for n in new:
             if now[n][0] == tag:
-                b = _number(now[n][1])
+                b = float(now[n][1])
                 if abs(a - b) <= RENAME_TOLERANCE * abs(a):
                     pairs.append((abs(a - b) / abs(a) if a else 0.0, g, n))
     out, used_g, used_n = [], set(), set()
@@ -173,7 +181,7 @@ def _summaries(pdf: pd.DataFrame) -> pd.DataFrame:
         if fields is None:
             fields = {x["path"]: (x["tag"] == "null", None if x["tag"] == "null" else x["tag"], x["text"]) for x in leaves}
         else:
-            fields = _step(fields, leaves, False)
+            fields = _step(fields, leaves)
     rows = [(p, *f) for p, f in (fields or {}).items()] or [(None, None, None, None)]
     out = pd.DataFrame(rows, columns=["path", "open", "tag", "text"])
     return out.assign(chunk=int(pdf["chunk"].iloc[0]), first_series=first, series=series, files=n)[[x.split()[0] for x in _STATE.split(", ")]]
@@ -224,7 +232,7 @@ def drift_report(files: DataFrame, chunk_files: int = 20_000) -> DataFrame:
                 series, fields = s, {x["path"]: (False, None if x["tag"] == "null" else x["tag"], x["text"]) for x in leaves}
                 continue
             rows += [(s, f, *c) for c in compare(fields, leaves)]
-            fields = _step(fields, leaves, True)
+            fields = _step(fields, leaves)
         return pd.DataFrame(rows, columns=["series_id", "file_id", "change_kind", "field_before", "field_after"]).astype({"series_id": "Int64", "file_id": "int64"})
 
     return fixed.groupBy("chunk").applyInPandas(replay, "series_id bigint, file_id bigint, change_kind string, field_before string, field_after string")
