@@ -15,24 +15,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyflow.sources.tables import spread
+
 #: A segment: a run of ASCII letters, a run of digits, or any other single character.
 SEGMENT = "[A-Za-z]+|[0-9]+|[^A-Za-z0-9]"
 
 
 def segments(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, syms``: letter runs, digit runs and single other characters; null texts give no row."""
-    return texts.filter(F.col(text).isNotNull()).select(key, F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0)).alias("syms"))
+    return spread(texts.select(key, text), key).filter(F.col(text).isNotNull()).select(key, F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0)).alias("syms"))
 
 
 def words(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, syms``: the text split at white space (space, tab, line feed, return, feed, vertical tab)."""
     split = F.filter(F.split(text, "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")
-    return texts.filter(F.col(text).isNotNull()).select(key, split.alias("syms"))
+    return spread(texts.select(key, text), key).filter(F.col(text).isNotNull()).select(key, split.alias("syms"))
 
 
 def characters(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, syms``: code points."""
-    return texts.filter(F.col(text).isNotNull()).select(key, F.filter(F.split(text, ""), lambda c: c != "").alias("syms"))
+    return spread(texts.select(key, text), key).filter(F.col(text).isNotNull()).select(key, F.filter(F.split(text, ""), lambda c: c != "").alias("syms"))
 
 
 def byte_histogram(texts: DataFrame, text: str = "text") -> DataFrame:
