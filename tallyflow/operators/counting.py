@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.sources.streams import positions
+
 
 def shifted(stream: DataFrame, lags: list[int], start: int, *keep: str) -> DataFrame:
     """One row per position ``pos >= start``: ``keep.., pos, y`` and ``x1, x2, ..`` the symbols at ``lags`` back.
@@ -18,17 +20,17 @@ def shifted(stream: DataFrame, lags: list[int], start: int, *keep: str) -> DataF
     symbols give no row. ``start`` must be at least the largest lag.
     """
     length = F.size("syms") - start
-    piece = lambda d: F.slice("syms", F.lit(start + 1 - d), F.greatest(length, F.lit(0)))
-    long = stream.filter(F.size("syms") > start)
+    piece = lambda d: F.slice("syms", F.lit(start + 1 - d), length)
     zipped = F.arrays_zip(F.sequence(F.lit(start), F.size("syms") - 1).alias("pos"), piece(0).alias("y"), *[piece(d).alias(f"x{i}") for i, d in enumerate(lags, 1)])
-    rows = long.select(*keep, F.inline(zipped))
+    # Short sequences give one row of nulls, dropped below; a filter on the array would split every text twice.
+    rows = stream.select(*keep, F.inline_outer(F.when(length > 0, zipped)))
     names = [*keep, "pos", "y", *[f"x{i}" for i in range(1, len(lags) + 1)]]
-    return rows.toDF(*names)
+    return rows.toDF(*names).filter(F.col("pos").isNotNull())
 
 
 def symbol_counts(stream: DataFrame) -> DataFrame:
     """``sym, n``."""
-    return stream.select(F.explode("syms").alias("sym")).groupBy("sym").agg(F.count("*").alias("n"))
+    return positions(stream).groupBy("sym").agg(F.count("*").alias("n"))
 
 
 def context_counts(stream: DataFrame, lags: list[int], start: int | None = None) -> DataFrame:
@@ -102,7 +104,7 @@ def audit_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
 
 def prefix_counts(stream: DataFrame, stops: list[int]) -> DataFrame:
     """``stop, sym, n``: symbol counts of the first ``stop`` positions of every sequence, for each stop."""
-    rows = stream.select(F.posexplode("syms").alias("pos", "sym"))
+    rows = positions(stream)
     in_prefix = F.filter(F.array(*map(F.lit, stops)), lambda s: s > F.col("pos"))
     return rows.select(F.explode(in_prefix).alias("stop"), "sym").groupBy("stop", "sym").agg(F.count("*").alias("n"))
 

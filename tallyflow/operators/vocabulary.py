@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyflow.sources.streams import positions
+
 
 def top_symbols(stream: DataFrame, k: int, key: str) -> DataFrame:
     """``sym, n, rank``: the k most frequent symbols, ranked from 0; ties go to the earlier first occurrence.
@@ -13,7 +15,7 @@ def top_symbols(stream: DataFrame, k: int, key: str) -> DataFrame:
     The order is total (count, then first (key, position)); ``limit`` after ``orderBy`` keeps k rows per
     task, so ranking sees k rows, however large the vocabulary.
     """
-    rows = stream.select(key, F.posexplode("syms").alias("pos", "sym"))
+    rows = positions(stream, key)
     counted = rows.groupBy("sym").agg(F.count("*").alias("n"), F.min(F.struct(key, "pos")).alias("first"))
     kept = counted.orderBy(F.desc("n"), "first").limit(k)
     return kept.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "first")) - 1).select("sym", "n", "rank")
@@ -44,5 +46,5 @@ def order_by_id(vocabulary: DataFrame) -> DataFrame:
 
 def first_occurrences(stream: DataFrame, key: str, pattern: str = "^[A-Za-z]+$") -> DataFrame:
     """``sym, first_key, first_pos``: where each symbol that matches occurs first."""
-    rows = stream.select(key, F.posexplode("syms").alias("pos", "sym")).filter(F.col("sym").rlike(pattern))
+    rows = positions(stream, key).filter(F.col("sym").rlike(pattern))
     return rows.groupBy("sym").agg(F.min(F.struct(key, "pos")).alias("f")).select("sym", F.col(f"f.{key}").alias("first_key"), F.col("f.pos").alias("first_pos"))

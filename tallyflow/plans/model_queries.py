@@ -170,7 +170,8 @@ QUERIES = {
 def _kinds(s: SparkSession, d: str) -> DataFrame:
     from tallyflow.sources import streams
 
-    docs = read_table(s, d, "documents").filter("text is not null").select("kind", F.explode(F.regexp_extract_all("text", F.lit(streams.SEGMENT), F.lit(0))).alias("sym"))
+    docs = read_table(s, d, "documents").filter("text is not null").select("kind", F.regexp_extract_all("text", F.lit(streams.SEGMENT), F.lit(0)).alias("syms"))
+    docs = streams.positions(docs, "kind")
     return docs.groupBy("kind", "sym").agg(F.count("*").alias("n"))
 
 

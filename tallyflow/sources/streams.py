@@ -26,6 +26,15 @@ def segments(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return spread(texts.select(key, text), key).filter(F.col(text).isNotNull()).select(key, F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0)).alias("syms"))
 
 
+def positions(stream: DataFrame, *keep: str) -> DataFrame:
+    """``keep.., pos, sym``: one row per position.
+
+    The outer form of the generator is used and its null row dropped afterwards: for the inner form the
+    optimizer adds a filter on the array below it, which would split every text once more.
+    """
+    return stream.select(*keep, F.posexplode_outer("syms").alias("pos", "sym")).filter(F.col("pos").isNotNull())
+
+
 def words(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, syms``: the text split at white space (space, tab, line feed, return, feed, vertical tab)."""
     split = F.filter(F.split(text, "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")
@@ -79,7 +88,7 @@ def tokenizer_counts(texts: DataFrame, path: str, text: str = "text") -> DataFra
 
 def manifest(stream: DataFrame, representation: str) -> DataFrame:
     """One row: representation, sequences, symbols and alphabet of a stream (the denominator's companions)."""
-    symbols = stream.select(F.explode("syms").alias("sym"))
+    symbols = positions(stream)
     return symbols.agg(F.lit(representation).alias("representation"), F.count("*").alias("n_symbols"), F.countDistinct("sym").alias("alphabet"))
 
 
