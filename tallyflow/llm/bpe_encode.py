@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyflow.sources.tables import spread
+
 #: The folder of the public vocabularies, the same on every machine.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -145,4 +147,4 @@ def encode_documents(documents: DataFrame, text: str = "text", key: str = "doc_i
                 lo = hi
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", ids array<int>"
-    return documents.select(*keep, text).mapInArrow(run, schema)
+    return spread(documents.select(*keep, text), key).mapInArrow(run, schema)

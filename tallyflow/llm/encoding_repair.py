@@ -20,6 +20,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tallyflow.sources.tables import spread
+
 #: A passage: non-ASCII characters and character references that touch.
 PASSAGE = re.compile(r"(?:[^\x00-\x7f]|&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)+")
 #: Encodings as which UTF-8 bytes were read one by one; the first one stands for cp1252 and Latin-1.
@@ -247,4 +249,4 @@ def repair_documents(documents: DataFrame, text: str = "text", key: str = "doc_i
                     rows.append((k, status, n, steps, new))
             yield pd.DataFrame(rows, columns=[key, "status", "passages", "steps", "restored"])
 
-    return documents.select(key, text).mapInPandas(run, f"{key} {kind}, status string, passages int, steps int, restored string")
+    return spread(documents.select(key, text), key).mapInPandas(run, f"{key} {kind}, status string, passages int, steps int, restored string")

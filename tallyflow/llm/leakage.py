@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.sources.tables import cut
+from tallyflow.sources.tables import cut, spread
 
 WORD = re.compile("[a-z0-9]+")
 #: Words of a passage, steps between the passages of an item, and consecutive words that make a leak.
@@ -108,7 +108,7 @@ def stretches(documents: DataFrame, items: Items, key: str, text: str, least: in
         yield pd.DataFrame({"kind": ["f"], "doc": [None], "start": [0], "words": [frequency]})
 
     flat = documents.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("doc"), F.col(text).alias("t"))
-    return flat.mapInPandas(run, _STRETCH)
+    return spread(flat, "doc").mapInPandas(run, _STRETCH)
 
 
 def _windows(words: np.ndarray) -> np.ndarray:
