@@ -230,7 +230,7 @@ ORACLE = {
     "lag_family_kt": f"WITH {RANKED} {_mix(_family(_CELLS_L, 'lag', 'x', kt()), 'lag')}",
     "ctw_kt_d1": f"WITH {RANKED}, {_NODES}, k1 AS (SELECT sum(q) AS kids FROM no WHERE d = 1) SELECT n AS n_coded, round(-({_HALF('q', 'kids')}), 4) AS tree_bits, round(-(greatest(q, kids) - 1), 4) AS map_bits FROM no, k1 WHERE d = 0",
     "ctw_kt_d2": f"WITH {RANKED}, {_WEIGHED} SELECT n AS n_coded, round(-beta, 4) AS tree_bits, round(-gamma, 4) AS map_bits FROM w0",
-    "fixed_depth_kt": f"WITH {RANKED}, {_NODES} SELECT d, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS n_coded, round(-sum(q), 4) AS bits FROM no GROUP BY d",
+    "fixed_depth_kt": f"WITH {RANKED}, {_NODES} SELECT CAST(d AS INTEGER) AS d, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS n_coded, round(-sum(q), 4) AS bits FROM no GROUP BY d",
     "map_leaves": f"""WITH {RANKED}, {_WEIGHED}, a AS (SELECT 0 AS d, n FROM w0 WHERE NOT split UNION ALL SELECT 1, w1.n FROM w1, w0 WHERE w0.split AND NOT w1.split
  UNION ALL SELECT 2, no.n FROM no JOIN w1 ON no.x1 = w1.x1, w0 WHERE no.d = 2 AND w0.split AND w1.split) SELECT d, count(*) AS leaves, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY d""",
     "honest_bpc_kt": f"""WITH {RANKED}, k AS (SELECT count(DISTINCT sym) AS k FROM tok), p AS (SELECT 'data' AS part, (SELECT sum(b) FROM (SELECT {kt()} AS b FROM pr GROUP BY x1)) AS bits
