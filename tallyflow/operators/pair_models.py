@@ -121,3 +121,58 @@ def gated_scores(star: DataFrame, fitted: DataFrame) -> DataFrame:
     rows = fitted.groupBy("x1", "x2").agg(F.sum("q").alias("_t"))
     law = fitted.join(rows, ["x1", "x2"]).select("y", "x1", "x2", log2(F.col("q") / F.col("_t")).alias("_l"))
     return star.join(law, ["y", "x1", "x2"], "left").select("y", "x1", "x2", "n", F.coalesce("_l", "log2p").alias("log2p"))
+
+
+def triple_margins(triples: DataFrame) -> tuple[list[tuple[list[str], DataFrame]], DataFrame]:
+    """Margins ``p`` of (y, x2), (x1, x2) and (y, x1) of a triple table, and the cells that all three support.
+
+    The last margin is (y, x1), so a fit that ends a round with it has it exactly.
+    """
+    t = triples.agg(F.sum("n").alias("t"))
+    p = triples.withColumn("p", F.col("n") / t.scalar())
+    targets = [(list(c), cut(p.groupBy(*c).agg(F.sum("p").alias("p")), "margin")) for c in (("y", "x2"), ("x1", "x2"), ("y", "x1"))]
+    yb, ab, ya = (x.drop("p") for _, x in targets)
+    return targets, ab.join(ya, "x1").join(yb, ["y", "x2"])
+
+
+def anchored_fit(triples: DataFrame, rounds: int, start: DataFrame | None = None) -> DataFrame:
+    """``y, x1, x2, q``: joint law p(y, x1) r(x2 | x1) e^{u(y, x2) + v(x1, x2)} / Z(y, x1) fitted to all three pair margins.
+
+    The factors u and v are updated by iterative scaling; the normaliser Z makes the (y, x1) margin exact at the end of
+    every round (the anchor). Without rounds q is p(y, x1) r(x2 | x1), whose prediction is first order.
+    ``start``: an earlier fit, whose values warm-start the cells that both have; new cells start from the base law.
+    """
+    targets, cells = triple_margins(triples)
+    ab, ya = targets[1][1], targets[2][1]
+    rows = ab.groupBy("x1").agg(F.sum("p").alias("_t"))
+    base = cells.join(ab.join(rows, "x1").select("x1", "x2", (F.col("p") / F.col("_t")).alias("_r")), ["x1", "x2"]).join(ya, ["y", "x1"]).select("y", "x1", "x2", (F.col("p") * F.col("_r")).alias("q"))
+    if start is not None:
+        earlier = start.select("y", "x1", "x2", F.col("q").alias("_q"))
+        base = base.join(earlier, ["y", "x1", "x2"], "left").select("y", "x1", "x2", F.coalesce("_q", "q").alias("q"))
+    anchored = proportional_fit(cut(base, "anchored"), [targets[2]], 1)
+    return proportional_fit(anchored, targets, rounds) if rounds else anchored
+
+
+def anchored_scores(triples: DataFrame, fitted: DataFrame) -> DataFrame:
+    """``n, bits, first_order_bits``: bits per symbol of p(y | x1, x2) of a fit, and of p(y | x1) on the same cells.
+
+    Every observed triple lies in the fit's support if both come from the same triples; others aren't scored.
+    """
+    rows = fitted.groupBy("x1", "x2").agg(F.sum("q").alias("_t"))
+    law = fitted.join(rows, ["x1", "x2"]).select("y", "x1", "x2", log2(F.col("q") / F.col("_t")).alias("_l"))
+    whole = fitted.groupBy("x1").agg(F.sum("q").alias("_a"))
+    first = fitted.groupBy("y", "x1").agg(F.sum("q").alias("_y")).join(whole, "x1").select("y", "x1", log2(F.col("_y") / F.col("_a")).alias("_m"))
+    scored = triples.join(law, ["y", "x1", "x2"]).join(first, ["y", "x1"])
+    n = F.sum("n")
+    return scored.agg(n.alias("n"), (-F.sum(F.col("n") * F.col("_l")) / n).alias("bits"), (-F.sum(F.col("n") * F.col("_m")) / n).alias("first_order_bits"))
+
+
+def fit_chain(blocks: DataFrame, checkpoints: list[int], rounds: int) -> list[tuple[int, DataFrame]]:
+    """A fit after each checkpoint of ``checkpoint, y, x1, x2, n``, each warm-started from the one before."""
+    out: list[tuple[int, DataFrame]] = []
+    last = None
+    for k in checkpoints:
+        upto = cut(blocks.filter(F.col("checkpoint") <= k).groupBy("y", "x1", "x2").agg(F.sum("n").alias("n")), "upto")
+        last = anchored_fit(upto, rounds, last)
+        out.append((k, last))
+    return out

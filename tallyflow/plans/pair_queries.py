@@ -69,14 +69,8 @@ def _delta_triangles(s: SparkSession, d: str) -> DataFrame:
 
 def _fit(s: SparkSession, d: str) -> tuple[DataFrame, list]:
     """Three-factor fit of the seen (x1, x2) contexts: margins (y, x1), (y, x2) and (x1, x2) of the triples."""
-    triples = cut(_small_triples(s, d), "triples")
-    t = triples.agg(F.sum("n").alias("t"))
-    p = triples.withColumn("p", F.col("n") / t.scalar())
-    targets = [(list(c), p.groupBy(*c).agg(F.sum("p").alias("p"))) for c in (("y", "x1"), ("y", "x2"), ("x1", "x2"))]
-    ya, yb, ab = (x.drop("p") for _, x in targets)
-    support = ab.join(ya, "x1").join(yb, ["y", "x2"]).withColumn("q", F.lit(1.0))
-    fixed = [(c, cut(x, "margin")) for c, x in targets]
-    return pair_models.proportional_fit(cut(support, "support"), fixed, 8), fixed
+    targets, support = pair_models.triple_margins(cut(_small_triples(s, d), "triples"))
+    return pair_models.proportional_fit(cut(support.withColumn("q", F.lit(1.0)), "support"), targets, 8), targets
 
 
 def _fit_error(s: SparkSession, d: str) -> DataFrame:
@@ -90,6 +84,26 @@ def _gated(s: SparkSession, d: str) -> DataFrame:
     return _rounded(scored.agg(F.sum("n").alias("n"), (-F.sum(F.col("n") * F.col("log2p")) / F.sum("n")).alias("bits")), "bits")
 
 
+def _anchored(s: SparkSession, d: str) -> DataFrame:
+    """Anchored fits after 0 and 6 rounds against first order."""
+    triples = cut(_small_triples(s, d), "triples")
+    out = None
+    for rounds in (0, 6):
+        row = pair_models.anchored_scores(triples, pair_models.anchored_fit(triples, rounds)).select(F.lit(rounds).alias("rounds"), "n", "bits", "first_order_bits")
+        out = row if out is None else out.unionByName(row)
+    return _rounded(out, "bits", "first_order_bits")
+
+
+def _chain(s: SparkSession, d: str) -> DataFrame:
+    """Each checkpoint's anchored fit scored on the next block (cells it supports)."""
+    blocks = cut(pooled.block_cells(tokens(s, d), _small_vocab(s, d), SMALL, LAGS, EDGES), "blocks")
+    out = None
+    for k, fitted in pair_models.fit_chain(blocks, [1, 2], 3):
+        row = pair_models.anchored_scores(blocks.filter(F.col("checkpoint") == k + 1), fitted).select(F.lit(k + 1).alias("checkpoint"), "n", "bits", "first_order_bits")
+        out = row if out is None else out.unionByName(row)
+    return _rounded(out, "bits", "first_order_bits")
+
+
 def _sinkhorn(s: SparkSession, d: str) -> DataFrame:
     """Pair counts plus a background brought to equal margins of y and x by alternate scaling."""
     pairs = cut(capped_pairs(s, d), "pairs")
@@ -221,6 +235,8 @@ QUERIES = {
     "delta_triangles": _delta_triangles,
     "ipf_fit": _fit_error,
     "gated_score": _gated,
+    "anchored_scores": _anchored,
+    "anchored_chain": _chain,
     "sinkhorn_projection": _sinkhorn,
     "chunked_kt": _refresh_cost,
     "spelling_stream": _spelling,

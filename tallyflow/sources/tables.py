@@ -29,18 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/tallyflow/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     The result has no lineage, so losing an executor never repeats what came before, and columns
-    such as a partition number are fixed for every later reader.
+    such as a partition number are fixed for every later reader. The tables stay until ``drop_cut_tables``,
+    since results that read them are lazy.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tallyflow/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cut_tables(spark: SparkSession) -> None:
+    """Delete this application's tables in the shared folder; call it when no result is needed any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 

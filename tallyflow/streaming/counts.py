@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.sources.tables import shared_dir
+from tallyflow.sources.tables import work_dir
 
 
 def _stream(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataFrame:
@@ -28,13 +28,13 @@ def _stream(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataFrame
 
 
 def _drain(stream: DataFrame, spark: SparkSession, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    where = f"{shared_dir(spark).rstrip('/')}/tallyflow/stream-{uuid.uuid4().hex}"
+    where = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
 
 
 def incremental_counts(spark: SparkSession, path: str, keys: list[str], files_a_batch: int = 1) -> DataFrame:
     """``keys.., n`` over all files, counted batch by batch."""
-    base = f"{shared_dir(spark).rstrip('/')}/tallyflow/counts-{uuid.uuid4().hex}"
+    base = f"{work_dir(spark)}/counts-{uuid.uuid4().hex}"
 
     def add(batch: DataFrame, number: int) -> None:
         batch.groupBy(*keys).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{base}/batch={number}")
@@ -49,7 +49,7 @@ def windowed_counts(spark: SparkSession, path: str, time: str, key: str, width:
     Update mode writes a window whenever it changes; of its versions the largest count holds. Records later than the
     watermark are dropped by the engine, so ``late`` has to cover the lateness that counts.
     """
-    base = f"{shared_dir(spark).rstrip('/')}/tallyflow/windows-{uuid.uuid4().hex}"
+    base = f"{work_dir(spark)}/windows-{uuid.uuid4().hex}"
     timed = _stream(spark, path).withColumn(time, F.col(time).cast("timestamp"))
     windows = timed.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"))
     counted = windows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), key, "n")
@@ -66,7 +66,7 @@ def causal_scores(spark: SparkSession, path: str, key: str, files_a_batch: int =
 
     Law of a symbol: (c + 1/2) / (n + (k + 1) / 2) with c, n, k the earlier count, total and distinct symbols.
     """
-    base = f"{shared_dir(spark).rstrip('/')}/tallyflow/causal-{uuid.uuid4().hex}"
+    base = f"{work_dir(spark)}/causal-{uuid.uuid4().hex}"
 
     def score(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
