@@ -102,8 +102,6 @@ def marginal_bound(pairs: DataFrame, state: str, per_state_bits: DataFrame) -> D
 
     Per state min(model, sum c log2(1/m_y)) + 1 bit for the choice; m_y is the share of y over all states.
     """
-    from pyspark.sql import Window as W  # noqa: F401
-
     y = pairs.groupBy("y").agg(F.sum("n").alias("y_n"))
     whole = y.agg(F.sum("y_n").alias("w"))
     priced = y.withColumn("w", whole.scalar()).select("y", log2(F.col("w") / F.col("y_n")).alias("price"))

@@ -139,7 +139,8 @@ def anchored_fit(triples: DataFrame, rounds: int, start: DataFrame | None = None
     """``y, x1, x2, q``: joint law p(y, x1) r(x2 | x1) e^{u(y, x2) + v(x1, x2)} / Z(y, x1) fitted to all three pair margins.
 
     The factors u and v are updated by iterative scaling; the normaliser Z makes the (y, x1) margin exact at the end of
-    every round (the anchor). Without rounds q is p(y, x1) r(x2 | x1), whose prediction is first order.
+    every round (the anchor). Without rounds q is p(y, x1) r(x2 | x1) on the shared support: first order but for
+    the cells outside it.
     ``start``: an earlier fit, whose values warm-start the cells that both have; new cells start from the base law.
     """
     targets, cells = triple_margins(triples)

@@ -9,7 +9,7 @@ from tallyflow.functions.special import add_one_state_bits, kt_state_bits
 from tallyflow.operators import context_tree, counting, entropy, families
 from tallyflow.operators.entropy import subset_bits
 from tallyflow.plans.shared import GRID, K, RANKED, TOK, V, add_one, capped_pairs, capped_triples, kt, tokens, vocab
-from tallyflow.sources.tables import read_table
+from tallyflow.sources.tables import cut, read_table
 
 PRODUCT_GRID = [(0, 0), (16, 0), (16, 4), (64, 4), (64, 16)]
 LAGS = [0, 1, 2, 4]
@@ -21,19 +21,11 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
 
 
-def _state_bits(s: SparkSession, d: str) -> DataFrame:
-    """Per state of rank x1: the report of visits with its KT bits."""
-    pairs = capped_pairs(s, d)
-    bits = pairs.groupBy("x1").agg(kt_state_bits("n", V).alias("model_bits"))
-    return entropy.state_report(pairs, "x1").join(bits, "x1")
-
-
 def _raw_state_bits(s: SparkSession, d: str) -> DataFrame:
     """The same over all symbols as states, the successor capped."""
     from tallyflow.operators import vocabulary
 
-    pairs = vocabulary.capped(counting.context_counts(tokens(s, d), [1]), vocab(s, d), ["y"], K)
-    return pairs
+    return cut(vocabulary.capped(counting.context_counts(tokens(s, d), [1]), vocab(s, d), ["y"], K), "pairs")
 
 
 def _buckets(s: SparkSession, d: str) -> DataFrame:
@@ -76,7 +68,7 @@ def _context_probe(s: SparkSession, d: str) -> DataFrame:
     )
     rows = stretches.select(F.col("e.state").alias("content"), F.inline(F.arrays_zip(F.col("e.body").alias("y"), F.col("e.prev").alias("x1"))))
     rows = rows.toDF("content", "y", "x1")
-    cells = rows.groupBy("content", "x1", "y").agg(F.count("*").alias("n"))
+    cells = cut(rows.groupBy("content", "x1", "y").agg(F.count("*").alias("n")), "cells")
     sums = lambda *k: cells.groupBy(*k).agg(F.sum("n").alias("n"))
     plain = entropy.entropy(sums("y")).select(F.lit("none").alias("state"), "n", "bits")
     prev = entropy.conditional_entropy(sums("x1", "y"), "x1").select(F.lit("previous").alias("state"), "n", "bits")
@@ -117,7 +109,7 @@ def _honest(s: SparkSession, d: str) -> DataFrame:
     """All costs of a first-order code of the texts: symbols, kept subset, spelled-out rest; and bits per byte."""
     pairs = capped_pairs(s, d)
     data = pairs.groupBy("x1").agg(kt_state_bits("n", V).alias("b")).agg(F.sum("b").alias("bits"))
-    stream = counting.symbol_counts(tokens(s, d))
+    stream = cut(counting.symbol_counts(tokens(s, d)), "counts")
     distinct = stream.agg(F.count("*").alias("k"))
     from tallyflow.operators import vocabulary
 
@@ -151,7 +143,7 @@ QUERIES = {
     "order2_forecast": _order2_forecast,
     "context_probe": _context_probe,
     "pair_plugin_loss": lambda s, d: _rounded(entropy.conditional_log_loss(capped_pairs(s, d), lambda c: (c + 0.5) / F.lit(1.0), "x1"), "bits", digits=6),
-    "marginal_bound": lambda s, d: _rounded(entropy.marginal_bound(capped_pairs(s, d), "x1", capped_pairs(s, d).groupBy("x1").agg(kt_state_bits("n", V).alias("model_bits"))), "model_bits", "bound_bits"),
+    "marginal_bound": lambda s, d: _marginal_bound(cut(capped_pairs(s, d), "pairs")),
     "kt_state_bits": lambda s, d: _rounded(capped_pairs(s, d).groupBy("x1").agg(F.sum("n").alias("n"), kt_state_bits("n", V).alias("bits")), "bits"),
     "addone_state_bits": lambda s, d: _rounded(capped_pairs(s, d).groupBy("x1").agg(F.sum("n").alias("n"), add_one_state_bits("n", V).alias("bits")), "bits"),
     "state_family_kt": lambda s, d: _state_family(s, d, "kt"),
@@ -167,6 +159,11 @@ QUERIES = {
 }
 
 
+def _marginal_bound(pairs: DataFrame) -> DataFrame:
+    bits = pairs.groupBy("x1").agg(kt_state_bits("n", V).alias("model_bits"))
+    return _rounded(entropy.marginal_bound(pairs, "x1", bits), "model_bits", "bound_bits")
+
+
 def _kinds(s: SparkSession, d: str) -> DataFrame:
     from tallyflow.sources import streams
 

@@ -9,7 +9,7 @@ from tallyflow.functions import layered
 from tallyflow.functions.special import kt_state_bits, log2
 from tallyflow.operators import context_tree, counting, entropy, families, ordered, pair_models, pooled, profiles, sampling, tokenizer, vocabulary
 from tallyflow.plans.model_queries import _rounded
-from tallyflow.plans.shared import K, RANKED, TOK, V, capped_pairs, capped_triples, kt, tokens
+from tallyflow.plans.shared import K, RANKED, TOK, V, capped_pairs, kt, tokens, vocab
 from tallyflow.sources.streams import positions
 from tallyflow.sources.tables import cut, read_table
 from tallyflow.streaming import counts as streamed
@@ -25,16 +25,15 @@ CHUNKS = [1, 2, 4, 8]
 
 
 def _small_vocab(s: SparkSession, d: str) -> DataFrame:
-    return vocabulary.top_symbols(tokens(s, d), SMALL, "doc_id")
+    return vocab(s, d, SMALL)
 
 
 def _experts(s: SparkSession, d: str):
-    stream, vocab = tokens(s, d), _small_vocab(s, d)
+    stream, kept = tokens(s, d), _small_vocab(s, d)
     # Laws and cells are small and read several times: they are written once.
-    vocab = cut(vocab, "vocab")
-    tables = cut(pooled.prefix_tables(stream, vocab, SMALL, LAGS, EDGES), "prefix")
+    tables = cut(pooled.prefix_tables(stream, kept, SMALL, LAGS, EDGES), "prefix")
     q0, laws = (cut(x, "laws") for x in pooled.expert_laws(tables, LAGS, SMALL_V))
-    cells = cut(pooled.block_cells(stream, vocab, SMALL, LAGS, EDGES), "blocks")
+    cells = cut(pooled.block_cells(stream, kept, SMALL, LAGS, EDGES), "blocks")
     return pooled.expert_columns(cells, q0, laws, LAGS), q0, laws
 
 
@@ -80,7 +79,7 @@ def _fit_error(s: SparkSession, d: str) -> DataFrame:
 
 def _gated(s: SparkSession, d: str) -> DataFrame:
     cells, _ = _fit(s, d)
-    scored = pair_models.gated_scores(pair_models.star_scores(_small_triples(s, d)), cells)
+    scored = pair_models.gated_scores(pair_models.star_scores(cut(_small_triples(s, d), "triples")), cells)
     return _rounded(scored.agg(F.sum("n").alias("n"), (-F.sum(F.col("n") * F.col("log2p")) / F.sum("n")).alias("bits")), "bits")
 
 
@@ -122,11 +121,11 @@ def _refresh_cost(s: SparkSession, d: str) -> DataFrame:
 
     Exact is the sequential code, which telescopes to the final counts.
     """
-    stream, vocab = tokens(s, d), _small_vocab(s, d)
+    stream, kept = tokens(s, d), _small_vocab(s, d)
     out = None
     for c in CHUNKS:
         edges = pooled.geometric_edges(2, 100_000, c) if c > 1 else [2, 100_000]
-        cells = pooled.block_cells(stream, vocab, SMALL, [1], edges)
+        cells = cut(pooled.block_cells(stream, kept, SMALL, [1], edges), "blocks")
         before = counting.cumulative_counts(cells, ["y", "x1"], list(range(1, c + 1))).select((F.col("checkpoint") + 1).alias("checkpoint"), "y", "x1", F.col("n").alias("c"))
         totals = before.groupBy("checkpoint", "x1").agg(F.sum("c").alias("t"))
         joined = cells.join(before, ["checkpoint", "y", "x1"], "left").join(totals, ["checkpoint", "x1"], "left")
@@ -142,7 +141,7 @@ def _spelling(s: SparkSession, d: str) -> DataFrame:
     """KT bits of spelling every distinct word once: order 0 and order 1 over 27 symbols."""
     forms = tokenizer.form_counts(counting.symbol_counts(tokens(s, d))).filter("kind = 'word'")
     letters = forms.select(F.concat(F.array(F.lit("")), F.filter(F.split("form", ""), lambda c: c != ""), F.array(F.lit(""))).alias("syms"))
-    pairs = counting.context_counts(letters, [1])
+    pairs = cut(counting.context_counts(letters, [1]), "letters")
     zero = pairs.groupBy("y").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("symbols"), kt_state_bits("n", 27).alias("bits0"))
     one = pairs.groupBy("x1").agg(kt_state_bits("n", 27).alias("b")).agg(F.sum("b").alias("b"))
     return _rounded(zero.withColumn("bits1", one.scalar()), "bits0", "bits1", digits=3)
@@ -150,7 +149,7 @@ def _spelling(s: SparkSession, d: str) -> DataFrame:
 
 def _token_costs(s: SparkSession, d: str) -> DataFrame:
     """``stream, types, symbols, bits``: KT bits of the tokenizer's streams; S1's alphabet is 259 and the forms."""
-    prof = tokenizer.stream_profiles(counting.symbol_counts(tokens(s, d)))
+    prof = cut(tokenizer.stream_profiles(cut(counting.symbol_counts(tokens(s, d)), "counts")), "profiles")
     sizes = {"S2a": 27, "S2b": 11, "S3": 4}
     parts = [prof.filter(F.col("stream") == k).groupBy("stream").agg(F.count("*").alias("types"), F.sum("n").alias("symbols"), kt_state_bits("n", v).alias("bits")) for k, v in sizes.items()]
     s1 = prof.filter("stream = 'S1'").groupBy("stream").agg(F.count("*").alias("types"), F.sum("n").alias("symbols"), F.sum("n").alias("_n"), F.sum(_half_gamma("n")).alias("_g"), F.sum(F.when(F.col("symbol").startswith("first "), F.col("n")).otherwise(0)).alias("_forms"))
@@ -188,7 +187,7 @@ def _stratified(s: SparkSession, d: str) -> DataFrame:
 
 
 def _lag_information(s: SparkSession, d: str) -> DataFrame:
-    counts = vocabulary.capped(counting.lag_counts(tokens(s, d), list(range(1, 9))), _small_vocab(s, d), ["x", "y"], SMALL)
+    counts = cut(vocabulary.capped(counting.lag_counts(tokens(s, d), list(range(1, 9))), _small_vocab(s, d), ["x", "y"], SMALL), "lags")
     base = entropy.entropy(counts.groupBy("lag", "y").agg(F.sum("n").alias("n")), ["lag"]).select("lag", F.col("bits").alias("h"))
     cond = entropy.conditional_entropy(counts, "x", ["lag"]).select("lag", F.col("bits").alias("c"))
     return base.join(cond, "lag").select("lag", (F.col("h") - F.col("c")).alias("bits"))
@@ -196,7 +195,7 @@ def _lag_information(s: SparkSession, d: str) -> DataFrame:
 
 def _layered_states(s: SparkSession, d: str) -> DataFrame:
     """Layered mixture bits of a first-order code over the small alphabet, beside KT and add-one."""
-    pairs = vocabulary.capped(counting.context_counts(tokens(s, d), [1]), _small_vocab(s, d), ["y", "x1"], SMALL)
+    pairs = cut(vocabulary.capped(counting.context_counts(tokens(s, d), [1]), _small_vocab(s, d), ["y", "x1"], SMALL), "pairs")
     states = profiles.state_profiles(pairs, ["x1"])
     bits = layered.state_bits(states, [], SMALL_V)
     kts = pairs.groupBy("x1").agg(kt_state_bits("n", SMALL_V).alias("b")).agg(F.sum("b").alias("b"))
@@ -205,7 +204,7 @@ def _layered_states(s: SparkSession, d: str) -> DataFrame:
 
 def _layered_predictive(s: SparkSession, d: str) -> DataFrame:
     """``x1, c, p``: probability of the next symbol by its count so far, for the states' count classes."""
-    pairs = vocabulary.capped(counting.context_counts(tokens(s, d), [1]), _small_vocab(s, d), ["y", "x1"], SMALL)
+    pairs = cut(vocabulary.capped(counting.context_counts(tokens(s, d), [1]), _small_vocab(s, d), ["y", "x1"], SMALL), "pairs")
     import pandas as pd
 
     def run(batches):
@@ -218,7 +217,7 @@ def _layered_predictive(s: SparkSession, d: str) -> DataFrame:
 
 def _context_tree_layered(s: SparkSession, d: str) -> DataFrame:
     """Context tree of depth 1 over the small alphabet with the layered leaf (4 depths)."""
-    pairs = vocabulary.capped(counting.context_counts(tokens(s, d), [1]), _small_vocab(s, d), ["y", "x1"], SMALL)
+    pairs = cut(vocabulary.capped(counting.context_counts(tokens(s, d), [1]), _small_vocab(s, d), ["y", "x1"], SMALL), "pairs")
     nodes = counting.context_nodes(pairs, 1)
     states = profiles.state_profiles(nodes, ["d", "x1"])
     scored = layered.score_profiles(states.select("profile").distinct(), SMALL_V, 4)
@@ -230,7 +229,7 @@ QUERIES = {
     "pooled_counts_mix": _pooled_mix,
     "pooled_counts_product": _pooled_product,
     "lag_pair_score": lambda s, d: _rounded(pair_models.pair_scores(capped_pairs(s, d)), "log2p", digits=6),
-    "star_score": lambda s, d: _rounded(pair_models.star_scores(_small_triples(s, d)), "log2p", digits=6),
+    "star_score": lambda s, d: _rounded(pair_models.star_scores(cut(_small_triples(s, d), "triples")), "log2p", digits=6),
     "triangle_counts": _triangle_counts,
     "delta_triangles": _delta_triangles,
     "ipf_fit": _fit_error,

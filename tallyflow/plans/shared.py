@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyflow.operators import counting, vocabulary
 from tallyflow.sources import streams
-from tallyflow.sources.tables import read_table
+from tallyflow.sources.tables import cut, read_table
 
 #: Kept symbols and the alphabet with the unknown symbol.
 K = 64
@@ -18,8 +18,9 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     return streams.segments(read_table(spark, sf, "documents"))
 
 
-def vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return vocabulary.top_symbols(tokens(spark, sf), K, "doc_id")
+def vocab(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
+    """The ranked top symbols: at most ``k`` rows, written once, since every capped column reads them."""
+    return cut(vocabulary.top_symbols(tokens(spark, sf), k, "doc_id"), "vocab")
 
 
 def capped_pairs(spark: SparkSession, sf: str) -> DataFrame:
