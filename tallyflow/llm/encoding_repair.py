@@ -175,8 +175,21 @@ def _edges(text: str) -> Iterator[tuple[str, bool, float]]:
 #: Traces of lost bytes: a replacement character, a control character of 0x80 to 0x9F (but not the line
 #: end 0x85 alone), an accented small letter right before a symbol it can't stand by, and repeated leads.
 _LOST = re.compile("�|[\x80-\x84\x86-\x9f]|[à-ïÃÂÎÏ][¡-¦¨¬¯±´-¶¸¼-¿]|â{3}|[ÃÎÏ][à-ïÂÃ]|â€|ÅÄ(?!Ö)|Å\xa0|×[©-¿×Ø]|Ø[§-ª±-³]")
-#: The same where only the lead of ’ was left, between the letters of a contraction or an elision.
-_LOST_APOSTROPHE = re.compile(r"(?<=[a-z]n)â(?=t\b)|\b(?:[cdjlmnstCDJLMNST]|[Qq]u)â(?=[aeiouhy])")
+#: The same where only a lead was left: of ’ between the letters of a contraction or an elision, of a dash or a
+#: sign between numbers, and of a pair of quotes around ASCII words.
+_LOST_APOSTROPHE = re.compile(r"â(?<=[a-z]nâ)(?=t\b)|â(?<=[A-Za-z][a-z]â)(?=(?:s|re|ll|ve)\b)|â(?<=\bIâ)(?=(?:m|ve|ll|d)\b)|â(?:(?<=\b[cdjlmnstCDJLMNST]â)|(?<=\b[Qq]uâ))(?=[aeiouhy])|[âÂÃ](?<=[0-9].)(?=[0-9])")
+_LOST_QUOTES = re.compile(r"â(?<![^\s(]â)(?=[A-Za-z0-9])[\x20-\x7e]{1,200}?(?<=[A-Za-z0-9.,!?])â(?![^\s).,;:!?])")
+#: A lead as a word of its own between ASCII words; no language written in Latin letters has these words.
+#: Like those above it begins with the lead, so that a text is scanned for the lead and not tried at every place.
+_LONE_LEAD = re.compile(r"[âãïÂÃÎÏ](?<=[!-~]\s.)(?=\s[0-9A-Za-z])")
+#: What stands before a letter that is spoken of: a word for letters, or another letter of a list.
+_MENTION = re.compile(r"(?:\b(?:Zeichen|Buchstaben?|Umlaut|Vokal|letters?|characters?|symbols?|signs?|vowels?|letras?|vogal|vocal|s[ií]mbolos?|lettres?|voyelle|caract[eè]res?|car[aá]cter|lettera|carattere|буквы?|знак|символ)|(?<!\w)[^\W\d_\x00-\x7f](?:,|\s(?:und|oder|and|or|e|o|ou|et|y|og|och)))\s$", re.IGNORECASE)
+
+
+def _lost_leads(text: str) -> int:
+    """Traces of one letter that the passages don't show: the lead of a character whose other bytes were lost."""
+    alone = sum(not _MENTION.search(text, max(0, m.start() - 40), m.start()) for m in _LONE_LEAD.finditer(text))
+    return alone + len(_LOST_APOSTROPHE.findall(text)) + len(_LOST_QUOTES.findall(text))
 
 
 @lru_cache(maxsize=50_000)
@@ -226,8 +239,8 @@ def repair(text: str | None) -> tuple[str | None, str, int, int]:
         return passage
 
     out = PASSAGE.sub(one, text)
-    apostrophes = len(_LOST_APOSTROPHE.findall(text)) if "â" in text else 0
-    garbled, kept = garbled + apostrophes, kept + apostrophes
+    leads = _lost_leads(text)
+    garbled, kept = garbled + leads, kept + leads
     status = "clean" if not garbled else "restored" if not kept else "lost" if kept == garbled else "partial"
     return out, status, garbled, depth
 

@@ -44,6 +44,16 @@ def test_references_and_lost_bytes():
     assert repair("Ìîäåëü äà¸ò")[0] == "Модель даёт"
 
 
+@pytest.mark.parametrize("text", ["the leaf costs 8.7694 bits â a gain of 0.9", "closer to 140 Ã 60141 cells", "pages 12â15", "the âfolded windowâ reading", "itâs the modelâs turn", "Iâm sure"])
+def test_a_lone_lead_is_a_lost_character(text):
+    assert repair(text) == (text, "lost", repair(text)[2], 0) and repair(text)[2]
+
+
+@pytest.mark.parametrize("text", ["Das Zeichen â (a mit Zirkumflex) und Ã (A mit Tilde)", "Das Zeichen â steht hier", "sem contar Ç e Â.", "línan; Ð og ð eru", "½ ¼ °C µs Å Ñ Ð", "un âge, une âme et la tâche", "états à la profondeur", "a razão é 5", "hâlâ var"])
+def test_a_letter_spoken_of_stays(text):
+    assert repair(text) == (text, "clean", 0, 0)
+
+
 def test_documents(spark):
     rows = [(1, "naÃ¯ve", 0), (2, None, 0), (3, "", 0), (4, "ok", 0), (5, "x " * 300_000 + "naÃ¯ve", 0), (6, "naÃ¯ve", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, status int")
