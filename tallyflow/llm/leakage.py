@@ -5,9 +5,12 @@ distributed randomised SVD of all passages gives their latent space; passages of
 against those of items by cosine; candidates are then read word by word: the longest common run, the
 longest common subsequence, and how many of the item's telling words (the answer check) the passage has.
 
-Only stretches of a document whose words all occur in held-out items can hold a copied run, so only
-these stretches become passages; they are a small part of a corpus. Statistics (document frequencies)
-cover every document.
+Only stretches of a document whose words all occur in held-out items can hold a copied run, so for copied
+runs only these stretches become passages; they are a small part of a corpus. For paraphrases every window
+of a document is a passage. Words of no item share one dimension beside the latent space, where items have
+nothing: a cosine is that of the known words times the share of the window's length that they hold.
+Windows whose share is under the cosine asked for can't reach it and are left out before the search.
+Statistics (document frequencies) cover every document.
 """
 
 from __future__ import annotations
@@ -78,28 +81,33 @@ def blocks_of(items: DataFrame, key: str, text: str) -> Iterator[Items]:
 _STRETCH = "kind string, doc string, start int, words array<int>"
 
 
-def stretches(documents: DataFrame, items: Items, key: str, text: str, least: int) -> DataFrame:
+def stretches(documents: DataFrame, items: Items, key: str, text: str, least: int, whole: bool = False) -> DataFrame:
     """Stretches of at least ``least`` known words of each document, and document frequencies.
 
-    Rows of kind ``s``: document, position, words. One row of kind ``f`` a task: documents per word, the
-    last entry all documents. Whole texts are read; null and empty texts have no words.
+    Rows of kind ``s``: document, position, words; with ``whole`` all words of each document that can hold a
+    passage, unknown ones as -1. One row of kind ``f`` a task: documents per word, then those with an unknown
+    word and all documents. Whole texts are read; null and empty texts have no words.
     """
     number = documents.sparkSession.sparkContext.broadcast(items.number)
     size = len(items.number)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = number.value
-        frequency = np.zeros(size + 1, np.int64)
+        frequency = np.zeros(size + 2, np.int64)
         for b in batches:
             rows = []
             for doc, t in zip(b["doc"], b["t"]):
                 ids = np.fromiter(map(known.get, words_of(t), repeat(-1)), np.int32)
-                frequency[size] += 1
-                if len(ids) < least:
-                    frequency[np.unique(ids[ids >= 0])] += 1
-                    continue
                 ok = ids >= 0
+                frequency[size + 1] += 1
+                frequency[size] += not ok.all()
                 frequency[np.unique(ids[ok])] += 1
+                if whole:
+                    if len(ids) >= PASSAGE and ok.any():
+                        rows.append(("s", doc, 0, ids))
+                    continue
+                if len(ids) < least:
+                    continue
                 edge = np.flatnonzero(np.diff(np.r_[False, ok, False]))
                 for a, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
                     if e - a >= least:
@@ -115,8 +123,44 @@ def _windows(words: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(words, PASSAGE) if len(words) >= PASSAGE else np.zeros((0, PASSAGE), words.dtype)
 
 
+def known_share(windows: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Share of the TF-IDF length of each window that its known words hold; the last idf is that of all unknown words."""
+    same = (windows[:, :, None] == windows[:, None, :]) & (windows[:, :, None] >= 0)
+    known = (same * (idf[windows] ** 2)[:, :, None]).sum((1, 2))
+    unknown = ((windows < 0).sum(1) * idf[-1]) ** 2
+    return np.sqrt(known / (known + unknown))
+
+
+def reachable(texts: DataFrame, idf: np.ndarray, cosine: float) -> DataFrame:
+    """Of whole texts (``stretches`` with ``whole``) the parts covered by windows that can reach ``cosine``."""
+    sent = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def parts(ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        weight = np.where(ids >= 0, sent.value[ids], 0)
+        sums = lambda x: (c := np.r_[0, np.cumsum(x)])[PASSAGE:] - c[:-PASSAGE]
+        total, unknown = sums(weight), sums(ids < 0) * sent.value[-1]
+        # A sum of weights is at least the length of their vector: the exact share is only needed where this one is enough.
+        at = np.flatnonzero((total > 0) & (total**2 * (1 - cosine**2) >= cosine**2 * unknown**2 - 1e-6))
+        windows = _windows(ids)
+        shares = [known_share(windows[at[lo : lo + TILE]], sent.value) for lo in range(0, len(at), TILE)]
+        at = at[np.concatenate([np.zeros(0), *shares]) >= cosine - 1e-9]
+        mark = np.zeros(len(ids) + 1, np.int32)
+        np.add.at(mark, at, 1)
+        np.add.at(mark, at + PASSAGE, -1)
+        edge = np.flatnonzero(np.diff(np.r_[False, np.cumsum(mark) > 0, False]))
+        yield from zip(edge[::2].tolist(), edge[1::2].tolist())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [("s", doc, a, ids[a:e]) for doc, ids in zip(b["doc"], b["words"]) for a, e in parts(ids)]
+            yield pd.DataFrame(rows, columns=["kind", "doc", "start", "words"])
+
+    return texts.mapInPandas(run, _STRETCH)
+
+
 def _project(passages: np.ndarray, space: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``space`` over the words of each passage, always added in the same order."""
+    """Sums of the rows of ``space`` over the words of each passage, always added in the same order; -1 adds nothing."""
+    space = np.r_[space, np.zeros((1, space.shape[1]), space.dtype)]
     out = np.zeros((len(passages), space.shape[1]), space.dtype)
     for k in range(PASSAGE):
         out += space[passages[:, k]]
@@ -139,14 +183,15 @@ def latent_space(found: DataFrame, items: Items, idf: np.ndarray, seed: int = 7)
         sent = found.sparkSession.sparkContext.broadcast((q * idf[:, None]).astype(np.float64))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((size, width))
+            total = np.zeros((size + 1, width))
             for b in batches:
-                for w in b["words"]:
-                    p = _windows(np.asarray(w, np.int32))
+                every = np.concatenate([np.zeros((0, PASSAGE), np.int32), *[_windows(np.asarray(w, np.int32)) for w in b["words"]]])
+                for lo in range(0, len(every), TILE):
+                    p = every[lo : lo + TILE]
                     y = _project(p, sent.value)
                     for k in range(PASSAGE):
                         np.add.at(total, p[:, k], y)
-            yield pd.DataFrame({"word": np.arange(size, dtype=np.int32), "row": list(total)})
+            yield pd.DataFrame({"word": np.arange(size, dtype=np.int32), "row": list(total[:size])})
 
         each = [F.sum(F.col("row")[k]).alias(f"c{k}") for k in range(width)]
         summed = found.select("words").mapInPandas(run, "word int, row array<double>").groupBy("word").agg(*each).toPandas()
@@ -204,10 +249,10 @@ def search(found: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, k
     for w in items.words:
         u = np.unique(w)
         telling.append(u[idf[u] >= np.median(idf[u])] if len(u) else u)
-    sent = context.broadcast((items, targets, space, telling))
+    sent = context.broadcast((items, targets, space, telling, idf))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, targets, space, telling = sent.value
+        items, targets, space, telling, idf = sent.value
         for b in batches:
             best: dict[tuple, list] = {}
             texts = [np.asarray(w, np.int32) for w in b["words"]]
@@ -218,7 +263,8 @@ def search(found: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, k
             every = np.concatenate(views) if views else np.zeros((0, PASSAGE), np.int32)
             for lo in range(0, len(every), TILE):
                 part = every[lo : lo + TILE]
-                near = _unit(_project(part, space)) @ targets.T
+                unit = _unit(_project(part, space))
+                near = (unit * known_share(part, idf).astype(unit.dtype)[:, None] if paraphrases else unit) @ targets.T
                 rows, cols = np.nonzero(near >= cosine)
                 same = (part[rows] == items.passages[cols]).all(1)
                 for r, c in zip(rows[same].tolist(), cols[same].tolist()):
@@ -244,6 +290,8 @@ def search(found: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, k
 def leaks(documents: DataFrame, items: DataFrame, cosine: float, paraphrases: bool, least: int = LEAK, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """Pairs of document and item: ``doc_key, item_key, run, lcs, share, answer``.
 
+    For paraphrases lcs, share and answer are of the part of the document that windows near enough to any item
+    cover, unknown words included; ``least`` is only for copied runs.
     Equal passages have equal vectors and thus cosine 1, so no leak of LEAK words can be missed at any
     ``cosine`` below 1. Without items or documents there are no rows.
     """
@@ -253,13 +301,16 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float, paraphrases: bo
     for block in blocks_of(items.filter(F.col(item_key).isNotNull()), item_key, text):
         if not len(block.passages):
             continue
-        rows = cut(stretches(documents, block, doc_key, text, least), "leaks")
+        rows = cut(stretches(documents, block, doc_key, text, least, paraphrases), "leaks")
         sums = rows.filter("kind = 'f'").select(F.posexplode("words").alias("word", "n")).groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-        frequency = np.zeros(len(block.number) + 1)
+        frequency = np.zeros(len(block.number) + 2)
         frequency[sums["word"]] = sums["n"]
         idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
-        found = rows.filter("kind = 's'").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "start")
-        space = latent_space(found, block, idf)
+        found = rows.filter("kind = 's'")
+        if paraphrases:
+            found = cut(reachable(found, idf, cosine), "reachable")
+        found = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "start")
+        space = latent_space(found, block, idf[:-1])
         pairs = search(found, block, space, idf, kinds[0], cosine, paraphrases)
         out = pairs if out is None else out.unionByName(pairs)
     if out is None:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tallyflow.llm.leakage import LEAK, common_run, common_subsequence, leaks, words_of
+from tallyflow.llm.leakage import LEAK, common_run, common_subsequence, known_share, leaks, words_of
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -70,6 +70,24 @@ def test_a_paraphrase_is_rated(spark):
     assert got[0]["share"] > 0.8 and got[0]["run"] < LEAK
 
 
+def test_a_paraphrase_with_words_of_no_item_is_rated(spark):
+    # No twelve known words in a row are left: every eighth word is one that no item has.
+    w = words_of("the longer ranking absorbs every hidden ledger before one spare lattice reveals the final codebook twice and then a fifth sentence closes it")
+    other = " ".join("xylophone" if k % 8 == 7 else x for k, x in enumerate(w))
+    dd = spark.createDataFrame([(1, "Quite unrelated opening words stand here. " + other), (2, "nothing of the kind is said in this other text at all"), (3, "the longer ranking")], "doc_id bigint, text string")
+    ii = spark.createDataFrame([(5, " ".join(w))], "item_id bigint, text string")
+    got = leaks(dd, ii, 0.7, True).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 5)]
+    assert got[0]["run"] < LEAK and got[0]["lcs"] == sum(x == y for x, y in zip(w, other.split())) and got[0]["share"] > 0.8
+
+
+def test_known_share_is_the_share_of_the_length():
+    idf = np.array([2.0, 3.0, 1.5])
+    windows = np.array([[0, 0, 1, -1, -1, 1, 1, 0], [-1] * 8, [0, 1, 0, 1, 0, 1, 0, 1]])
+    want = [np.sqrt((6**2 + 9**2) / (6**2 + 9**2 + 3**2)), 0, 1]
+    assert known_share(windows, idf) == pytest.approx(want)
+
+
 @pytest.mark.parametrize("docs,items", [([], [(1, "a b c d e f g h i j k l m")]), ([(1, "a b c")], []), ([(1, "a b c")], [(1, None)])])
 def test_empty(spark, docs, items):
     dd, ii = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
