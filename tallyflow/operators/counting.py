@@ -65,15 +65,16 @@ def context_nodes(counts: DataFrame, depth: int) -> DataFrame:
     return each.groupBy("d", *names, "y").agg(F.sum("n").alias("n"))
 
 
-def interval_counts(stream: DataFrame, lags: list[int], edges: list[int]) -> DataFrame:
+def interval_counts(stream: DataFrame, lags: list[int], edges: list[int | None]) -> DataFrame:
     """``checkpoint, y, x1.., n``: counts per block of positions; block k is [edges[k-1], edges[k]).
 
     Positions before the largest lag have no history and are not counted; those from the last edge on
-    aren't either.
+    aren't either, unless that is None, the end of every sequence.
     """
     block = F.lit(None).cast("int")
     for k in range(len(edges) - 1, 0, -1):
-        block = F.when((F.col("pos") >= edges[k - 1]) & (F.col("pos") < edges[k]), k).otherwise(block)
+        inside = F.col("pos") >= edges[k - 1]
+        block = F.when(inside if edges[k] is None else inside & (F.col("pos") < edges[k]), k).otherwise(block)
     rows = shifted(stream, lags, max(lags)).withColumn("checkpoint", block).filter("checkpoint is not null")
     return rows.groupBy("checkpoint", "y", *[f"x{i}" for i in range(1, len(lags) + 1)]).agg(F.count("*").alias("n"))
 

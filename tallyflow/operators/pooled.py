@@ -26,10 +26,10 @@ def equal_edges(start: int, stop: int, blocks: int) -> list[int]:
     return [start + int((stop - start) * k / blocks) for k in range(blocks + 1)]
 
 
-def prefix_tables(stream: DataFrame, vocab: DataFrame, k: int, lags: list[int], edges: list[int]) -> DataFrame:
+def prefix_tables(stream: DataFrame, vocab: DataFrame, k: int, lags: list[int], edges: list[int | None]) -> DataFrame:
     """``checkpoint, lag, x, y, n``: capped counts of the positions before each block; lag 0 has x = -1.
 
-    Block c is [edges[c-1], edges[c]); position is the index in a sequence, counts are over all sequences.
+    Block c is [edges[c-1], edges[c]), the last one up to the end if its edge is None; position is the index in a sequence, counts are over all sequences.
     """
     block = F.lit(0)
     for c, e in enumerate(edges[:-1], 1):
@@ -65,7 +65,7 @@ def expert_laws(tables: DataFrame, lags: list[int], v: int) -> tuple[DataFrame,
     return q0, laws.select("checkpoint", "lag", "x", "y", (F.col("row") * (1 + F.col("n") / (ALPHA * F.col("q0")))).alias("ratio"), "row")
 
 
-def block_cells(stream: DataFrame, vocab: DataFrame, k: int, lags: list[int], edges: list[int]) -> DataFrame:
+def block_cells(stream: DataFrame, vocab: DataFrame, k: int, lags: list[int], edges: list[int | None]) -> DataFrame:
     """``checkpoint, y, x1.., n``: what each block has to code, capped."""
     return vocabulary.capped(counting.interval_counts(stream, lags, edges), vocab, ["y", *[f"x{i}" for i in range(1, len(lags) + 1)]], k)
 

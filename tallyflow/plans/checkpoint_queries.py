@@ -11,13 +11,13 @@ from tallyflow.plans.pair_queries import _SMALL, SMALL, SMALL_V, _small_vocab
 from tallyflow.plans.shared import kt, tokens
 from tallyflow.sources.tables import cut
 
-EDGES = [2, 32, 128, 512, 100_000]
+EDGES = [2, 32, 128, 512, None]
 LAST = len(EDGES) - 1
 WINDOWS = [16, 64, 256, 1024]
 ANCHOR = 64
 
 
-def _blocks(s: SparkSession, d: str, edges: list[int] = EDGES) -> DataFrame:
+def _blocks(s: SparkSession, d: str, edges: list[int | None] = EDGES) -> DataFrame:
     return cut(pooled.block_cells(tokens(s, d), _small_vocab(s, d), SMALL, [1], edges), "blocks")
 
 

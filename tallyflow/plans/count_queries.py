@@ -10,7 +10,9 @@ from tallyflow.plans.shared import GRID, K, RANKED, TOK, VOC, capped_pairs, capp
 from tallyflow.sources import streams
 from tallyflow.sources.tables import read_table
 
-EDGES = [2, 64, 256, 1024]
+#: The last block holds the rest of every text.
+EDGES = [2, 64, 256, 1024, None]
+LAST = len(EDGES) - 1
 STOPS = [16, 128, 1024]
 
 
@@ -19,13 +21,13 @@ def _deltas(s: SparkSession, d: str) -> DataFrame:
 
 
 def _upto(s: SparkSession, d: str) -> DataFrame:
-    return counting.cumulative_counts(_deltas(s, d), ["y", "x1"], [1, 2, 3])
+    return counting.cumulative_counts(_deltas(s, d), ["y", "x1"], list(range(1, LAST + 1)))
 
 
 def _audit(s: SparkSession, d: str) -> DataFrame:
     """Counts added up over blocks against counts made directly; no row means that they agree."""
-    direct = counting.shifted(tokens(s, d), [1], 1).filter((F.col("pos") >= EDGES[0]) & (F.col("pos") < EDGES[-1])).groupBy("y", "x1").agg(F.count("*").alias("n"))
-    return counting.audit_counts(_upto(s, d).filter("checkpoint = 3"), direct, ["y", "x1"])
+    direct = counting.shifted(tokens(s, d), [1], 1).filter(F.col("pos") >= EDGES[0]).groupBy("y", "x1").agg(F.count("*").alias("n"))
+    return counting.audit_counts(_upto(s, d).filter(F.col("checkpoint") == LAST), direct, ["y", "x1"])
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:

@@ -18,7 +18,7 @@ from tallyflow.streaming import counts as streamed
 SMALL = 16
 SMALL_V = SMALL + 1
 LAGS = [1, 2]
-EDGES = [2, 64, 512, 100_000]
+EDGES = [2, 64, 512, None]
 MIXES = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [0.2, 0.5, 0.3], [0.1, 0.8, 0.1]]
 POWERS = [[1.0, 0.0], [0.0, 1.0], [0.66, 0.33], [1.0, 0.5]]
 CHUNKS = [1, 2, 4, 8]
@@ -124,7 +124,8 @@ def _refresh_cost(s: SparkSession, d: str) -> DataFrame:
     stream, kept = tokens(s, d), _small_vocab(s, d)
     out = None
     for c in CHUNKS:
-        edges = pooled.geometric_edges(2, 100_000, c) if c > 1 else [2, 100_000]
+        # The last chunk holds the rest of every text, wherever the edges before it lie.
+        edges = [*(pooled.geometric_edges(2, 100_000, c)[:-1] if c > 1 else [2]), None]
         cells = cut(pooled.block_cells(stream, kept, SMALL, [1], edges), "blocks")
         before = counting.cumulative_counts(cells, ["y", "x1"], list(range(1, c + 1))).select((F.col("checkpoint") + 1).alias("checkpoint"), "y", "x1", F.col("n").alias("c"))
         totals = before.groupBy("checkpoint", "x1").agg(F.sum("c").alias("t"))

@@ -65,6 +65,20 @@ def test_blocks_add_up(spark):
     assert counting.audit_counts(merged, direct, ["y", "x1"]).count() == 0
 
 
+def test_blocks_reach_the_end_of_long_texts(spark, tmp_path):
+    from tallyflow.plans import checkpoint_queries, count_queries, pair_queries
+
+    spark.createDataFrame([(1, "a1" * 50_100), (2, "b,"), (3, None), (4, "")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    total = lambda df: df.agg(F.sum("n")).first()[0]
+    queries, d = {**count_queries.QUERIES, **pair_queries.QUERIES}, str(tmp_path)
+    assert total(queries["count_delta"](spark, d)) == total(queries["count_merge"](spark, d)) == 100_198
+    assert total(queries["count_cumulative"](spark, d).filter("checkpoint = 4")) == 100_198
+    assert queries["audit_counts"](spark, d).count() == 0
+    assert total(checkpoint_queries._blocks(spark, d)) == 100_198
+    assert {r["n_coded"] for r in queries["chunked_kt"](spark, d).collect()} == {100_198}
+    assert {r["n_coded"] for r in queries["pooled_counts_mix"](spark, d).collect()} == {100_198}
+
+
 def test_family_identities(spark):
     # The last symbol alone leaves the next one open, the last two settle it.
     s = stream(spark, ["aabb" * 60 + "a", "", "cd"])
