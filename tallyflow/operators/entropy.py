@@ -74,16 +74,23 @@ def grain_curve(pairs: DataFrame, grid: list[int], rank: str = "x") -> DataFrame
     return conditional_entropy(each.groupBy("m", "state", "y").agg(F.sum("n").alias("n")), "state", ["m"])
 
 
-def mass_quantiles(vocabulary: DataFrame, total: DataFrame, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """``share, ranks``: how many of the leading symbols hold each share of all occurrences (null if beyond the table).
+def mass_quantiles(counts: DataFrame, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """``share, ranks``: how many of the leading symbols hold each share of all occurrences.
 
-    ``vocabulary`` is a ranked one (``sym, n, rank``) of bounded size; ``total`` one row ``n``.
+    ``counts`` has a row ``n`` for each symbol of the whole vocabulary. Ranks run over the histogram count ->
+    number of symbols: of t occurrences in all there are at most sqrt(2 t) different counts, so one task orders
+    them. Within a count the rank is the least one that reaches the share. No counts: no rows.
     """
     from pyspark.sql import Window as W
 
-    running = vocabulary.withColumn("upto", F.sum("n").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0))).withColumn("total", total.scalar())
-    wanted = F.explode(F.array(*map(F.lit, shares))).alias("share")
-    return running.select(wanted, "rank", "upto", "total").groupBy("share").agg(F.min(F.when(F.col("upto") >= F.col("share") * F.col("total"), F.col("rank") + 1)).alias("ranks"))
+    classes = counts.groupBy("n").agg(F.count("*").alias("symbols"))
+    down = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0)
+    mass = F.col("n") * F.col("symbols")
+    every = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    running = classes.select("n", (F.sum("symbols").over(down) - F.col("symbols")).alias("before"), F.sum(mass).over(down).alias("upto"), (F.sum(mass).over(down) - mass).alias("start"), F.sum(mass).over(every).alias("total"))
+    wanted = running.select(F.explode(F.array(*map(F.lit, shares))).alias("share"), "*").withColumn("need", F.col("share") * F.col("total"))
+    reached = wanted.filter("upto >= need")
+    return reached.groupBy("share").agg(F.min(F.col("before") + F.greatest(F.lit(1), F.ceil((F.col("need") - F.col("start")) / F.col("n")))).cast("int").alias("ranks"))
 
 
 def conditional_log_loss(pairs: DataFrame, joint_probability, state: str) -> DataFrame:

@@ -137,7 +137,7 @@ QUERIES = {
     "conditional_entropy": lambda s, d: _rounded(entropy.conditional_entropy(counting.context_counts(tokens(s, d), [1]), "x1"), "bits", digits=6),
     "mutual_information": lambda s, d: _rounded(entropy.mutual_information(counting.context_counts(tokens(s, d), [1]), "y", "x1"), "bits", digits=6),
     "state_grain": lambda s, d: _rounded(entropy.grain_curve(capped_pairs(s, d), GRID, "x1"), "bits", digits=6),
-    "mass_quantiles": lambda s, d: entropy.mass_quantiles(vocab(s, d), counting.symbol_counts(tokens(s, d)).agg(F.sum("n").alias("n"))),
+    "mass_quantiles": lambda s, d: entropy.mass_quantiles(counting.symbol_counts(tokens(s, d))),
     "miller_madow": lambda s, d: _rounded(entropy.state_report(capped_pairs(s, d), "x1"), "plugin_bits", "miller_madow_bits"),
     "redundancy_buckets": _buckets,
     "order2_forecast": _order2_forecast,

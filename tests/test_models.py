@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -79,6 +80,18 @@ def test_blocks_reach_the_end_of_long_texts(spark, tmp_path):
     assert {r["n_coded"] for r in queries["pooled_counts_mix"](spark, d).collect()} == {100_198}
 
 
+def test_mass_quantiles_over_the_whole_vocabulary(spark):
+    rng = random.Random(4)
+    for sizes in ([1] * 300, [rng.randrange(1, 9) for _ in range(200)] + [500, 90, 90], [7], [10, 10, 10, 10]):
+        total, want = sum(sizes), {}
+        for share in (0.5, 0.9, 0.99):
+            upto = list(itertools.accumulate(sorted(sizes, reverse=True)))
+            want[share] = next(k for k, u in enumerate(upto, 1) if u >= share * total)
+        df = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "sym string, n bigint")
+        assert {r["share"]: r["ranks"] for r in entropy.mass_quantiles(df).collect()} == want
+    assert entropy.mass_quantiles(df.filter("n < 0")).collect() == []
+
+
 def test_family_identities(spark):
     # The last symbol alone leaves the next one open, the last two settle it.
     s = stream(spark, ["aabb" * 60 + "a", "", "cd"])
