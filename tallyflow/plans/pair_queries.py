@@ -210,18 +210,18 @@ def _layered_predictive(s: SparkSession, d: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [(x, c, p) for x, prof in zip(b["x1"], b["profile"]) for c, p in layered.predictive(list(prof), SMALL_V, 4).items()]
+            rows = [(x, c, p) for x, prof in zip(b["x1"], b["profile"]) for c, p in layered.predictive(list(prof), SMALL_V).items()]
             yield pd.DataFrame(rows, columns=["x1", "c", "p"])
 
     return profiles.state_profiles(pairs, ["x1"]).mapInPandas(run, "x1 int, c bigint, p double")
 
 
 def _context_tree_layered(s: SparkSession, d: str) -> DataFrame:
-    """Context tree of depth 1 over the small alphabet with the layered leaf (4 depths)."""
+    """Context tree of depth 1 over the small alphabet with the layered leaf, averaged over all its depths."""
     pairs = cut(vocabulary.capped(counting.context_counts(tokens(s, d), [1]), _small_vocab(s, d), ["y", "x1"], SMALL), "pairs")
     nodes = counting.context_nodes(pairs, 1)
     states = profiles.state_profiles(nodes, ["d", "x1"])
-    scored = layered.score_profiles(states.select("profile").distinct(), SMALL_V, 4)
+    scored = layered.score_profiles(states.select("profile").distinct(), SMALL_V)
     q = states.join(scored, "profile").select("d", "x1", F.col("total").alias("n"), (-F.col("bits")).alias("q"))
     return _rounded(context_tree.tree_summary(context_tree.weigh(q, 1)), "tree_bits", "map_bits", digits=3)
 

@@ -92,6 +92,27 @@ def test_mass_quantiles_over_the_whole_vocabulary(spark):
     assert entropy.mass_quantiles(df.filter("n < 0")).collect() == []
 
 
+def test_layered_queries_average_over_all_depths(spark, tmp_path):
+    from tallyflow.plans import pair_queries
+
+    spark.createDataFrame([(1, "ab ab ba ab " * 3)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    syms = ["ab", " ", "ab", " ", "ba", " ", "ab", " "] * 3
+    after = {}
+    for x, y in zip(syms, syms[1:]):
+        after.setdefault(x, {}).setdefault(y, 0)
+        after[x][y] += 1
+    rank = {" ": 0, "ab": 1, "ba": 2}
+    want = {(rank[x], c): p for x, ys in after.items() for c, p in layered.predictive(list(ys.values()), 17, 13).items()}
+    got = {(r["x1"], r["c"]): r["p"] for r in pair_queries.QUERIES["layered_predictive"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want)
+    whole = {}
+    for y in syms[1:]:
+        whole[y] = whole.get(y, 0) + 1
+    root, kids = layered.log2_q(list(whole.values()), 17, 13), sum(layered.log2_q(list(ys.values()), 17, 13) for ys in after.values())
+    tree = pair_queries.QUERIES["layered_tree"](spark, str(tmp_path)).first()
+    assert tree["tree_bits"] == pytest.approx(1 - np.logaddexp2(root, kids), abs=1e-3)
+
+
 def test_family_identities(spark):
     # The last symbol alone leaves the next one open, the last two settle it.
     s = stream(spark, ["aabb" * 60 + "a", "", "cd"])
