@@ -2,56 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.pair_association import association, exceeds, information, pack, sorted_pair_counts
+from tallyflow.llm.pair_association import association, exceeds, information, sorted_pair_counts
 from tallyflow.sources.tables import cut, read_table
 
-PAIRS = ("ya", "yb", "ab")
-#: Symbols take 20 bits each, run and pair together the other 23.
-SYMBOL_BITS = 20
+#: A case occurs at least so often, and so many times as often as by chance.
 MIN_COUNT, TIMES = 30, 8
 CHECKPOINTS = (1, 2, 3, 4)
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
     rows = read_table(spark, sf, "sparse_counts").filter((F.col("n") >= 1) & (F.col("k1") != F.col("k2")))
-    pair = F.when(F.col("pair") == "ya", 0).when(F.col("pair") == "yb", 1).when(F.col("pair") == "ab", 2)
-    code = pack(F.col("run_id") * 3 + pair, SYMBOL_BITS, F.least("k1", "k2"), F.greatest("k1", "k2"))
+    ends = rows.select("count_id", "run_id", "pair", F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "n")
     # The margins and both ends of a pair read the counts again: they are written once.
-    counted = cut(sorted_pair_counts(rows.select("count_id", code.alias("code"), "n"), "count_id", "code", "n"), "pairs")
-    group = F.shiftright("code", 2 * SYMBOL_BITS)
-    mask = (1 << SYMBOL_BITS) - 1
-    return counted.select(
-        F.expr(f"shiftright(code, {2 * SYMBOL_BITS}) div 3").alias("run_id"), (group % 3).cast("int").alias("pair_no"),
-        F.shiftright("code", SYMBOL_BITS).bitwiseAND(F.lit(mask)).cast("int").alias("a"), F.col("code").bitwiseAND(F.lit(mask)).cast("int").alias("b"), F.col("n").alias("c"),
-    )
-
-
-def _name() -> Column:
-    return F.element_at(F.array(*map(F.lit, PAIRS)), F.col("pair_no") + 1).alias("pair")
+    return cut(sorted_pair_counts(ends, ["run_id", "pair"], "a", "b", "count_id", "n"), "pairs").withColumnRenamed("n", "c")
 
 
 def found_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rated = association(_cells(spark, sf), ["run_id", "pair_no"], MIN_COUNT).filter(exceeds(TIMES))
-    return rated.select("run_id", _name(), F.col("a").alias("sym_a"), F.col("b").alias("sym_b"))
+    rated = association(_cells(spark, sf), ["run_id", "pair"], MIN_COUNT).filter(exceeds(TIMES))
+    return rated.select("run_id", "pair", F.col("a").alias("sym_a"), F.col("b").alias("sym_b"))
 
 
 def all_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Count, factor over chance and log odds ratio of every pair of symbols that stand together."""
-    rated = association(_cells(spark, sf), ["run_id", "pair_no"])
-    return rated.select("run_id", _name(), F.col("a").alias("sym_a"), F.col("b").alias("sym_b"), "c", "m_a", "m_b", "t", F.round("factor", 6).alias("factor"), F.round("log_odds", 6).alias("log_odds"))
+    rated = association(_cells(spark, sf), ["run_id", "pair"])
+    return rated.select("run_id", "pair", F.col("a").alias("sym_a"), F.col("b").alias("sym_b"), "c", "m_a", "m_b", "t", F.round("factor", 6).alias("factor"), F.round("log_odds", 6).alias("log_odds"))
 
 
 def run_information(spark: SparkSession, sf: str) -> DataFrame:
     """Mutual information of ``ya`` and ``yb`` per run and checkpoint, with the stated value where one exists.
 
     ``stated`` is the value of results in bits (nats are converted); ``agrees`` compares to 1e-3 and is
-    null where nothing is stated. Of repeated results the smallest result_id's smallest value holds.
+    null where nothing is stated. Of copies of a count that differ the smallest record holds as a whole, of
+    repeated results the smallest stated value.
     """
     rows = read_table(spark, sf, "sparse_counts").filter((F.col("n") >= 1) & F.col("pair").isin("ya", "yb") & F.col("count_id").isNotNull())
-    one = rows.groupBy("count_id").agg(*[F.min(c).alias(c) for c in ("run_id", "checkpoint", "pair", "k1", "k2", "n")])
+    one = rows.groupBy("count_id").agg(F.min(F.struct("run_id", "checkpoint", "pair", "k1", "k2", "n")).alias("r")).select("r.*")
     mi = information(one.select("run_id", "pair", F.col("checkpoint").alias("step"), "k1", "k2", "n"), ["run_id", "pair"], list(CHECKPOINTS))
     scale = F.when(F.col("mi_unit") == "nats", 1 / F.log(F.lit(2.0))).when(F.col("mi_unit") == "bits", 1.0)
     stated = read_table(spark, sf, "results").select("run_id", F.col("checkpoint").alias("step"), F.explode(F.array(F.struct(F.lit("ya").alias("pair"), (F.col("mi_lag1") * scale).alias("v")), F.struct(F.lit("yb").alias("pair"), (F.col("mi_lag2") * scale).alias("v")))).alias("s")).select("run_id", "step", "s.*")

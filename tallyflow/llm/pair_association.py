@@ -1,9 +1,10 @@
 """Which items stand together, and by how much more than chance.
 
-Method: external sort of packed 64-bit pair codes. A pair occurrence is packed into one BIGINT; map
-tasks sort and combine bounded runs of codes, Spark's range exchange and its spilling sorter merge the
-runs, and one pass over each sorted partition counts run lengths. Association measures follow from the
-run lengths: the factor over chance and the odds ratio with continuity correction.
+Method: external sort of packed 64-bit pair codes. Both symbols of an occurrence are packed into one BIGINT;
+Spark's range exchange and its sorter, which spills sorted runs and merges them, order the codes, and one
+pass over each sorted partition counts run lengths. A redelivered record can only be told once its copies
+meet, so occurrences are handed on one by one and combined after the sort. Association measures follow from
+the run lengths: the factor over chance and the odds ratio with continuity correction.
 """
 
 from __future__ import annotations
@@ -12,58 +13,92 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Added to each cell of the fourfold table before the odds ratio.
 CONTINUITY = 0.5
+#: Bits of a symbol in a packed code, and the types that fit into them.
+SYMBOL_BITS = 32
+_NARROW = ("tinyint", "smallint", "int")
 
 
-def pack(group: Column, bits: int, a: Column, b: Column) -> Column:
-    """``group << 2*bits | a << bits | b``; a and b must lie in [0, 2**bits)."""
-    return F.shiftleft(group.cast("bigint"), 2 * bits).bitwiseOR(F.shiftleft(a.cast("bigint"), bits)).bitwiseOR(b.cast("bigint"))
+def pack(a: Column, b: Column) -> Column:
+    """``a << 32 | b`` of two symbols of at most 32 bits each, whatever their sign: unlike pairs have unlike codes."""
+    low = F.lit((1 << SYMBOL_BITS) - 1)
+    return F.shiftleft(a.cast("bigint"), SYMBOL_BITS).bitwiseOR(b.cast("bigint").bitwiseAND(low))
 
 
-def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run-length counts of a partition sorted by (code, record): a repeated (code, record) counts once.
+def unpack(code: Column) -> tuple[Column, Column]:
+    """The two symbols of ``pack``, with their signs."""
+    return F.shiftright(code, SYMBOL_BITS).cast("int"), F.shiftright(F.shiftleft(code, SYMBOL_BITS), SYMBOL_BITS).cast("int")
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """True where a value differs from the one before it; the first one does."""
+    out = np.ones(len(column), bool)
+    if len(column) > 1:
+        out[1:] = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _run_lengths(keys: int):
+    """Counts of runs of equal keys (the first columns) in a partition sorted by (keys, record): a repeated record counts once.
 
     Only the run that a batch leaves open is carried into the next one.
     """
-    code0 = record0 = None
-    total = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        code, record, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        fresh = np.empty(len(code), bool)
-        fresh[1:] = (code[1:] != code[:-1]) | (record[1:] != record[:-1])
-        fresh[0] = code0 is None or code[0] != code0 or record[0] != record0
-        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-        sums = np.add.reduceat(np.where(fresh, n, 0), starts)
-        codes = code[starts]
-        if code0 is not None:
-            if codes[0] == code0:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key: list | None = None
+        last_record, total = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fresh_key = np.logical_or.reduce([_changes(b.column(i)) for i in range(keys)])
+            same_run = open_key is not None and all(b.column(i)[0].as_py() == v for i, v in enumerate(open_key))
+            record, n = b.column(keys), b.column(keys + 1).to_numpy(zero_copy_only=False)
+            fresh = fresh_key | _changes(record)
+            fresh[0] = not (same_run and record[0].as_py() == last_record)
+            starts = np.flatnonzero(fresh_key)
+            sums = np.add.reduceat(np.where(fresh, n, 0), starts)
+            if same_run:
                 sums[0] += total
-            else:
-                codes, sums = np.r_[code0, codes], np.r_[total, sums]
-        code0, record0, total = codes[-1], record[-1], sums[-1]
-        if len(codes) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(codes[:-1], pa.int64()), pa.array(sums[:-1], pa.int64())], ["code", "n"])
-    if code0 is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([code0], pa.int64()), pa.array([total], pa.int64())], ["code", "n"])
-
-
-def sorted_pair_counts(pairs: DataFrame, record_id: str, code: str, n: str) -> DataFrame:
-    """``code, n``: the sum of n over the distinct (code, record) of ``pairs``.
-
-    The range exchange splits by (code, record), so a code that holds a third of all rows spreads over
-    as many partitions as its rows need; each gives one partial run, and the partial runs of such codes
-    are added at the end by an ordinary aggregation (map-side first). Rows with a null in any of the
-    three columns are passed over; an empty table gives no rows.
+            elif open_key is not None:
+                yield pa.RecordBatch.from_arrays([*[pa.array([v], b.column(i).type) for i, v in enumerate(open_key)], pa.array([total], pa.int64())], [*b.schema.names[:keys], "n"])
+            done = pa.array(starts[:-1])
+            if len(done):
+                yield pa.RecordBatch.from_arrays([*[b.column(i).take(done) for i in range(keys)], pa.array(sums[:-1], pa.int64())], [*b.schema.names[:keys], "n"])
+            open_key = [b.column(i)[int(starts[-1])].as_py() for i in range(keys)]
+            last_record, total = record[b.num_rows - 1].as_py(), int(sums[-1])
+            kinds = [b.column(i).type for i in range(keys)]
+            names = b.schema.names[:keys]
+        if open_key is not None:
+            yield pa.RecordBatch.from_arrays([*[pa.array([v], k) for v, k in zip(open_key, kinds)], pa.array([total], pa.int64())], [*names, "n"])
+
+    return run
+
+
+def sorted_pair_counts(pairs: DataFrame, group: list[str], a: str, b: str, record: str, n: str) -> DataFrame:
+    """``group.., a, b, n``: the sum of n over the distinct records of each pair (a, b) of a group.
+
+    Symbols of up to 32 bits share one packed code; wider ones stay two sort keys, which is exact for any
+    BIGINT. Groups may be of any type. The range exchange splits by (group, code, record), so a pair with a
+    third of all rows spreads over as many partitions as its rows need; each gives one partial run, and the
+    partial runs of such pairs are added at the end by an ordinary aggregation (map-side first). Rows with
+    a null in any of the columns are passed over; an empty table gives no rows.
     """
-    flat = pairs.select(F.col(code).cast("bigint").alias("code"), F.col(record_id).cast("bigint").alias("record"), F.col(n).cast("bigint").alias("n")).na.drop()
-    runs = flat.repartitionByRange(F.col("code"), F.col("record")).sortWithinPartitions("code", "record")
-    return runs.mapInArrow(_run_lengths, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    kinds = dict(pairs.dtypes)
+    packed = kinds[a] in _NARROW and kinds[b] in _NARROW
+    codes = [pack(F.col(a), F.col(b)).alias("_code")] if packed else [F.col(a).cast("bigint").alias("_a"), F.col(b).cast("bigint").alias("_b")]
+    flat = pairs.select(*group, *codes, F.col(record).alias("_record"), F.col(n).cast("bigint").alias("_n")).na.drop()
+    order = [c for c in flat.columns if c != "_n"]
+    keys = order[:-1]
+    runs = flat.repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order)
+    kind = dict(flat.dtypes)
+    counted = runs.mapInArrow(_run_lengths(len(keys)), ", ".join(f"{k} {kind[k]}" for k in keys) + ", n bigint").groupBy(*keys).agg(F.sum("n").alias("n"))
+    ends = unpack(F.col("_code")) if packed else (F.col("_a"), F.col("_b"))
+    return counted.select(*group, ends[0].alias(a), ends[1].alias(b), "n")
 
 
 def association(cells: DataFrame, group: list[str], min_count: int = 1) -> DataFrame:
@@ -78,7 +113,7 @@ def association(cells: DataFrame, group: list[str], min_count: int = 1) -> DataF
     """
     ends = cells.select(*group, F.explode(F.array("a", "b")).alias("x"), "c")
     m = ends.groupBy(*group, "x").agg(F.sum("c").alias("m"))
-    t = m.groupBy(*group).agg((F.sum("m") / 2).cast("bigint").alias("t"))
+    t = m.groupBy(*group).agg(F.expr("sum(m) div 2").alias("t"))
     known = m.join(t, group)
     big = cells.filter(F.col("c") >= min_count)
     left = known.select(*group, F.col("x").alias("a"), F.col("m").alias("m_a"), "t")

@@ -5,30 +5,39 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallyflow.llm.pair_association import association, exceeds, information, pack, sorted_pair_counts
+from tallyflow.llm.pair_association import association, exceeds, information, pack, sorted_pair_counts, unpack
 
 
-def test_pack_keeps_order_and_parts(spark):
-    df = spark.createDataFrame([(5, 3, 9)], "g bigint, a int, b int")
-    assert df.select(pack(F.col("g"), 20, F.col("a"), F.col("b")).alias("p")).first()["p"] == (5 << 40) | (3 << 20) | 9
+def test_codes_of_unlike_pairs_differ_whatever_their_sign(spark):
+    ends = [0, 1, -1, 2**20, 2**23, 2**31 - 1, -(2**31)]
+    df = spark.createDataFrame([(a, b) for a in ends for b in ends], "a int, b int").withColumn("p", pack(F.col("a"), F.col("b")))
+    a, b = unpack(F.col("p"))
+    rows = df.select("a", "b", "p", a.alias("x"), b.alias("y")).collect()
+    assert len({r["p"] for r in rows}) == len(ends) ** 2
+    assert all((r["a"], r["b"]) == (r["x"], r["y"]) for r in rows)
 
 
-def test_run_lengths_equal_brute_force_with_a_hot_code(spark):
+@pytest.mark.parametrize("kind", ["int", "bigint"])
+def test_run_lengths_equal_brute_force_with_a_hot_code(spark, kind):
     rng = random.Random(1)
-    rows = [(i, 7 if i % 3 == 0 else rng.randrange(50), rng.randrange(1, 5)) for i in range(4000)]
+    # Symbols, runs and groups on both sides of 20, 23 and 32 bits.
+    symbols = [0, 1, 7, 2**20, 2**20 + 1, 2**31 - 1] + ([2**40, 2**41 + 1, -(2**62)] if kind == "bigint" else [-5])
+    runs = [1, 2_800_000, 2**45]
+    rows = [(i, runs[i % 3], "ya", 7, 2**20) if i % 3 == 0 else (i, rng.choice(runs), rng.choice(["ya", "yb", "other"]), rng.choice(symbols), rng.choice(symbols)) for i in range(4000)]
+    rows = [(*r, rng.randrange(1, 5)) for r in rows]
     copies = rows + rng.sample(rows, 400)
-    df = spark.createDataFrame([(*r, "clash") for r in copies], "record bigint, code bigint, n int, x string").repartition(6)
+    df = spark.createDataFrame([(*r, "clash") for r in copies], f"record bigint, run bigint, pair string, s {kind}, t {kind}, n int, code string").repartition(6)
     want = Counter()
-    for _, c, n in rows:
-        want[c] += n
-    got = {r["code"]: r["n"] for r in sorted_pair_counts(df, "record", "code", "n").collect()}
+    for _, g, p, s, t, n in rows:
+        want[g, p, s, t] += n
+    got = {(r["run"], r["pair"], r["s"], r["t"]): r["n"] for r in sorted_pair_counts(df, ["run", "pair"], "s", "t", "record", "n").collect()}
     assert got == want
 
 
 def test_nulls_and_empty(spark):
-    df = spark.createDataFrame([(None, 1, 1), (1, None, 1), (2, 3, None), (3, 4, 2)], "r bigint, c bigint, n int")
-    assert [(r["code"], r["n"]) for r in sorted_pair_counts(df, "r", "c", "n").collect()] == [(4, 2)]
-    assert sorted_pair_counts(df.filter("r = 99"), "r", "c", "n").collect() == []
+    df = spark.createDataFrame([(None, 1, 1, 1), (1, None, 1, 1), (2, 3, 1, None), (3, 4, 2, 2), (4, 1, None, 2)], "r bigint, a int, b int, n int")
+    assert [(r["a"], r["b"], r["n"]) for r in sorted_pair_counts(df, [], "a", "b", "r", "n").collect()] == [(4, 2, 2)]
+    assert sorted_pair_counts(df.filter("r = 99"), [], "a", "b", "r", "n").collect() == []
 
 
 def test_association(spark):
