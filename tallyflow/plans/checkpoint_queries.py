@@ -35,7 +35,7 @@ QUERIES = {
     "window_rings": _rings,
 }
 
-_B = f"""{_SMALL}, bl AS (SELECT CASE WHEN pos < 32 THEN 1 WHEN pos < 128 THEN 2 WHEN pos < 512 THEN 3 ELSE 4 END AS checkpoint, x1, y, CAST(count(*) AS BIGINT) AS n FROM l WHERE pos >= 2 AND pos < 100000 GROUP BY ALL),
+_B = f"""{_SMALL}, bl AS (SELECT CASE WHEN pos < 32 THEN 1 WHEN pos < 128 THEN 2 WHEN pos < 512 THEN 3 ELSE 4 END AS checkpoint, x1, y, CAST(count(*) AS BIGINT) AS n FROM l WHERE pos >= 2 GROUP BY ALL),
  up AS (SELECT k AS checkpoint, x1, y, CAST(sum(n) AS BIGINT) AS n FROM bl JOIN (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS k) ON checkpoint <= k GROUP BY ALL),
  fz AS (SELECT bl.*, u.n AS c, t.t FROM bl LEFT JOIN up u ON u.checkpoint = bl.checkpoint - 1 AND u.x1 = bl.x1 AND u.y = bl.y LEFT JOIN (SELECT checkpoint, x1, sum(n) AS t FROM up GROUP BY ALL) t ON t.checkpoint = bl.checkpoint - 1 AND t.x1 = bl.x1),
  sc AS (SELECT checkpoint, sum(n) AS scored, sum(CASE WHEN c IS NOT NULL THEN n ELSE 0 END) / sum(n) AS supported, sum(n * log2((coalesce(t, 0) + {SMALL_V / 2}) / (coalesce(c, 0) + 0.5))) AS bits FROM fz GROUP BY checkpoint),

@@ -80,7 +80,7 @@ QUERIES = {
 }
 
 _LAGGED = f"{TOK}, l AS (SELECT *, lag(sym) OVER w AS x1, lag(sym, 2) OVER w AS x2, lag(sym, 3) OVER w AS x3, lag(sym, 4) OVER w AS x4 FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"
-_BLOCKS = f"{_LAGGED}, b AS (SELECT CASE WHEN pos < 64 THEN 1 WHEN pos < 256 THEN 2 ELSE 3 END AS checkpoint, sym AS y, x1, count(*) AS n FROM l WHERE pos >= 2 AND pos < 1024 GROUP BY ALL)"
+_BLOCKS = f"{_LAGGED}, b AS (SELECT CASE WHEN pos < 64 THEN 1 WHEN pos < 256 THEN 2 WHEN pos < 1024 THEN 3 ELSE 4 END AS checkpoint, sym AS y, x1, count(*) AS n FROM l WHERE pos >= 2 GROUP BY ALL)"
 
 ORACLE = {
     "token_counts": f"WITH {TOK} SELECT sym, count(*) AS n FROM tok GROUP BY sym",
@@ -99,9 +99,9 @@ ORACLE = {
  UNION ALL SELECT 2, x2, sym FROM l WHERE pos >= 4 UNION ALL SELECT 4, x4, sym FROM l WHERE pos >= 4) GROUP BY ALL""",
     "context_nodes": f"WITH {RANKED} SELECT CAST(2 - grouping(x1) - grouping(x2) AS INTEGER) AS d, x1, x2, y, CAST(sum(n) AS BIGINT) AS n FROM tr GROUP BY y, ROLLUP (x1, x2)",
     "count_delta": f"WITH {_BLOCKS} SELECT * FROM b",
-    "count_cumulative": f"WITH {_BLOCKS} SELECT c.k AS checkpoint, y, x1, CAST(sum(n) AS BIGINT) AS n FROM b JOIN (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS k) c ON checkpoint <= c.k GROUP BY ALL",
+    "count_cumulative": f"WITH {_BLOCKS} SELECT c.k AS checkpoint, y, x1, CAST(sum(n) AS BIGINT) AS n FROM b JOIN (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS k) c ON checkpoint <= c.k GROUP BY ALL",
     "count_merge": f"WITH {_BLOCKS} SELECT y, x1, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY ALL",
-    "audit_counts": f"WITH {_BLOCKS}, u AS (SELECT y, x1, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY ALL), d AS (SELECT sym AS y, x1, count(*) AS n FROM l WHERE pos >= 2 AND pos < 1024 GROUP BY ALL) SELECT coalesce(u.y, d.y) AS y, coalesce(u.x1, d.x1) AS x1, coalesce(u.n, 0) AS n_left, coalesce(d.n, 0) AS n_right FROM u FULL JOIN d ON u.y = d.y AND u.x1 = d.x1 WHERE coalesce(u.n, 0) <> coalesce(d.n, 0)",
+    "audit_counts": f"WITH {_BLOCKS}, u AS (SELECT y, x1, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY ALL), d AS (SELECT sym AS y, x1, count(*) AS n FROM l WHERE pos >= 2 GROUP BY ALL) SELECT coalesce(u.y, d.y) AS y, coalesce(u.x1, d.x1) AS x1, coalesce(u.n, 0) AS n_left, coalesce(d.n, 0) AS n_right FROM u FULL JOIN d ON u.y = d.y AND u.x1 = d.x1 WHERE coalesce(u.n, 0) <> coalesce(d.n, 0)",
     "unequal_delta": f"WITH {RANKED} SELECT y, least(x1, 16) AS x1, least(x2, 4) AS x2, CAST(sum(n) AS BIGINT) AS n FROM tr GROUP BY ALL",
     "state_profiles": f"WITH {RANKED} SELECT x1, string_agg(n::VARCHAR, ',' ORDER BY n DESC) AS profile, CAST(sum(n) AS BIGINT) AS total FROM pr GROUP BY x1",
     "profile_multiset": f"WITH {_LAGGED}, p AS (SELECT x1, sym, count(*) AS n FROM l WHERE pos >= 1 GROUP BY ALL), q AS (SELECT x1, string_agg(n::VARCHAR, ',' ORDER BY n DESC) AS profile FROM p GROUP BY x1) SELECT md5(profile) AS profile, count(*) AS states FROM q GROUP BY profile",

@@ -208,7 +208,7 @@ ORACLE = {
     "mutual_information": f"""WITH {TOK}, l AS (SELECT sym AS y, lag(sym) OVER (PARTITION BY doc_id ORDER BY pos) AS x FROM tok), c AS (SELECT x, y, count(*) AS n FROM l WHERE x IS NOT NULL GROUP BY ALL),
  q AS (SELECT n, sum(n) OVER (PARTITION BY x) AS a, sum(n) OVER (PARTITION BY y) AS b, sum(n) OVER () AS t FROM c) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n / t * log2(CAST(n AS DOUBLE) * t / (CAST(a AS DOUBLE) * b))), 6) AS bits FROM q""",
     "state_grain": f"WITH {RANKED}, g AS ({_CELLS_M}), s AS (SELECT m, state, sum(n) AS n, sum(n * log2(n)) AS f, count(*) AS p FROM g GROUP BY ALL) SELECT m, CAST(sum(n) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS pairs, count(*) AS states, round((sum(n * log2(n)) - sum(f)) / sum(n), 6) AS bits FROM s GROUP BY m",
-    "mass_quantiles": f"WITH {RANKED}, c AS (SELECT rank, sum(n) OVER (ORDER BY rank) AS upto, (SELECT count(*) FROM tok) AS total FROM voc) SELECT share, CAST(min(CASE WHEN upto >= share * total THEN rank + 1 END) AS INTEGER) AS ranks FROM c, (SELECT CAST(unnest([0.5, 0.9, 0.99]) AS DOUBLE) AS share) GROUP BY share",
+    "mass_quantiles": f"WITH {TOK}, c AS (SELECT row_number() OVER w AS rank, sum(n) OVER w AS upto, sum(n) OVER () AS total FROM (SELECT sym, count(*) AS n FROM tok GROUP BY sym) WINDOW w AS (ORDER BY n DESC, sym)) SELECT share, CAST(min(rank) AS INTEGER) AS ranks FROM c, (SELECT CAST(unnest([0.5, 0.9, 0.99]) AS DOUBLE) AS share) WHERE upto >= share * total GROUP BY share",
     "miller_madow": f"WITH {RANKED} SELECT x1, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS support, round({_STATE}, 4) AS plugin_bits, round({_MM}, 4) AS miller_madow_bits FROM pr GROUP BY x1",
     "redundancy_buckets": f"WITH {_REPORT} SELECT upto, states, tokens, round(model, 4) AS model_bits, round(plugin, 4) AS plugin_bits, round(mm, 4) AS miller_madow_bits, round(model - plugin - mm, 4) AS excess_bits FROM bu",
     "order2_forecast": f"""WITH {_REPORT}, ex AS (SELECT upto, (model - plugin - mm) / states AS e FROM bu), s2 AS (SELECT x1, x2, CAST(sum(n) AS BIGINT) AS tokens, {_STATE} AS plugin, {_MM} AS mm, {kt()} AS model FROM tr GROUP BY x1, x2),

@@ -261,7 +261,7 @@ QUERIES = {
 }
 
 _SMALL = RANKED.replace(f"<= {K})", f"<= {SMALL})").replace(f"coalesce(rank, {K})", f"coalesce(rank, {SMALL})")
-_POOL = f"""{_SMALL}, b AS (SELECT *, CASE WHEN pos < 2 THEN 0 WHEN pos < 64 THEN 1 WHEN pos < 512 THEN 2 WHEN pos < 100000 THEN 3 ELSE 4 END AS blk FROM l),
+_POOL = f"""{_SMALL}, b AS (SELECT *, CASE WHEN pos < 2 THEN 0 WHEN pos < 64 THEN 1 WHEN pos < 512 THEN 2 ELSE 3 END AS blk FROM l),
  ck AS (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS c), ys AS (SELECT CAST(unnest(range(0, {SMALL_V})) AS INTEGER) AS y),
  u AS (SELECT c, y, count(*) AS n FROM b JOIN ck ON blk < c GROUP BY ALL), up AS (SELECT c, sum(n) AS t FROM u GROUP BY c),
  q0 AS (SELECT up.c, ys.y, (coalesce(n, 0) + 0.5) / (t + {SMALL_V} / 2.0) AS q0 FROM up CROSS JOIN ys LEFT JOIN u ON u.c = up.c AND u.y = ys.y),
@@ -285,11 +285,11 @@ _LAGINFO = f"""{_SMALL}, ll AS (SELECT y, pos, doc_id, {', '.join(f'lag(y, {i})
  li AS (SELECT lag, sum(n / t * log2(CAST(n AS DOUBLE) * t / (CAST(a AS DOUBLE) * b))) AS bits FROM (SELECT *, sum(n) OVER (PARTITION BY lag, x) AS a, sum(n) OVER (PARTITION BY lag, y) AS b, sum(n) OVER (PARTITION BY lag) AS t FROM lc) GROUP BY lag)"""
 _CHUNK = []
 for _c in CHUNKS:
-    _edges = pooled.geometric_edges(2, 100_000, _c) if _c > 1 else [2, 100_000]
-    _case = " ".join(f"WHEN pos < {e} THEN {i}" for i, e in enumerate(_edges[1:], 1))
+    _edges = pooled.geometric_edges(2, 100_000, _c)[:-1] if _c > 1 else [2]
+    _case = " ".join(["WHEN pos < 0 THEN 0", *[f"WHEN pos < {e} THEN {i}" for i, e in enumerate(_edges[1:], 1)]]) + f" ELSE {_c}"
     _CHUNK.append(
-        f"""SELECT {_c} AS chunks, CAST(sum(n) AS BIGINT) AS n_coded, round(sum(n * log2((coalesce(t, 0) + {SMALL_V / 2}) / (coalesce(cc, 0) + 0.5))), 3) AS chunked_bits, (SELECT round(sum(b), 3) FROM (SELECT {kt(v=SMALL_V)} AS b FROM (SELECT x1, y, count(*) AS n FROM l WHERE pos >= 2 AND pos < 100000 GROUP BY ALL) GROUP BY x1)) AS exact_bits
- FROM (SELECT *, sum(n) OVER (PARTITION BY x1, y ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cc, sum(n) OVER (PARTITION BY x1 ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM (SELECT CASE {_case} END AS k, x1, y, count(*) AS n FROM l WHERE pos >= 2 AND pos < 100000 GROUP BY ALL))"""
+        f"""SELECT {_c} AS chunks, CAST(sum(n) AS BIGINT) AS n_coded, round(sum(n * log2((coalesce(t, 0) + {SMALL_V / 2}) / (coalesce(cc, 0) + 0.5))), 3) AS chunked_bits, (SELECT round(sum(b), 3) FROM (SELECT {kt(v=SMALL_V)} AS b FROM (SELECT x1, y, count(*) AS n FROM l WHERE pos >= 2 GROUP BY ALL) GROUP BY x1)) AS exact_bits
+ FROM (SELECT *, sum(n) OVER (PARTITION BY x1, y ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cc, sum(n) OVER (PARTITION BY x1 ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM (SELECT CASE {_case} END AS k, x1, y, count(*) AS n FROM l WHERE pos >= 2 GROUP BY ALL))"""
     )
 
 _MIXVALS = ", ".join(f"({i}, {', '.join(map(str, w))})" for i, w in enumerate(MIXES))
