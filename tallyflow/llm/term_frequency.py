@@ -1,15 +1,17 @@
-"""How often every term, or every run of n terms, occurs, and in how many records.
+"""How often every term, and every run of n terms, occurs, and in how many records.
 
-Method: suffix arrays with common-prefix intervals. Each task sorts the suffixes of its records (to the
-depth asked for); suffixes that share their first n terms form an interval, whose size is the number of
-occurrences. Suffixes of an interval stand in text order, so occurrences within one record are
-neighbours, and the number of records is the size less the neighbours of the same record. Records are
+Method: suffix arrays with common-prefix intervals. Each task sorts the suffixes of its records to their full
+length and takes the longest common prefix of neighbours. Runs of n terms are the intervals of neighbours
+whose common prefix has at least n terms: an interval's size is the number of occurrences. Each suffix is
+linked to the suffix of the same record that stands before it in the array; a link that stays within an
+interval is a duplicate of its record, so the number of records is the size less these links. Records are
 never split between tasks, so the figures of all tasks add up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,35 +21,79 @@ from pyspark.sql import functions as F
 #: Marks of first occurrences, the end mark, and the first number of later occurrences.
 LETTERS, DIGITS, END, LATER = 256, 257, 258, 259
 #: Terms that a task gathers before it builds a suffix array and hands on its intervals.
-CHUNK_TERMS = 2_000_000
+CHUNK_TERMS = 500_000
 
 
-def intervals(codes: np.ndarray, record: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 1..depth: (n, a starting position of each interval, occurrences, records).
+@dataclass
+class SuffixArray:
+    """All suffixes of some records, each up to the end of its record, in order.
 
-    codes: the terms of all records in a row; record: the record of each. Only runs within one record
-    count. The suffix array of depth n refines that of depth n - 1: suffixes are ranked by the pair
-    (rank of the first n - 1 terms, rank of the n-th), ties in text order.
+    ``suffixes`` are starting positions (equal ones in text order), ``lengths`` the terms each has, ``common``
+    the terms that each shares with the one before it (-1 for the first) and ``same`` the place of the
+    previous suffix of the same record (-1: none).
     """
-    at = np.arange(len(codes))
-    rank = codes
-    for n in range(1, depth + 1):
-        if n > 1:
-            at = at[at + n - 1 < len(codes)]
-            at = at[record[at] == record[at + n - 1]]
-        if not len(at):
-            return
-        width = int(codes.max()) + 1
-        key = rank[at].astype(np.int64) if n == 1 else rank[at].astype(np.int64) * width + codes[at + n - 1]
-        order = np.argsort(key, kind="stable")
-        suffixes, sorted_key = at[order], key[order]
-        fresh = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
-        starts = np.flatnonzero(fresh)
-        same = np.r_[False, (record[suffixes[1:]] == record[suffixes[:-1]])] & ~fresh
-        occurrences = np.diff(np.r_[starts, len(suffixes)])
-        yield n, suffixes[starts], occurrences, occurrences - np.add.reduceat(same.astype(np.int64), starts)
-        rank = np.zeros(len(codes), np.int64)
-        rank[suffixes] = np.cumsum(fresh) - 1
+
+    suffixes: np.ndarray
+    lengths: np.ndarray
+    common: np.ndarray
+    same: np.ndarray
+
+    @classmethod
+    def of(cls, codes: np.ndarray, record: np.ndarray) -> SuffixArray:
+        """codes: the terms of all records in a row; record: the record of each, not falling.
+
+        Ranks by the first k terms give ranks by the first 2k; the doubling ends once all suffixes differ or
+        2^level covers the longest record. The ranks of all levels then give common prefixes, longest part first.
+        """
+        size = len(codes)
+        if not size:
+            none = np.zeros(0, np.int64)
+            return cls(none, none, none, none)
+        last = np.flatnonzero(np.r_[record[1:] != record[:-1], True])
+        left = last[np.searchsorted(last, np.arange(size))] - np.arange(size) + 1
+        longest = int(left.max())
+        rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+        levels, span = [rank.astype(np.int32)], 1
+        order = np.argsort(rank, kind="stable")
+        while span < longest and rank[order[-1]] + 1 < size:
+            follow = np.zeros(size, np.int64)
+            inside = np.flatnonzero(left > span)
+            follow[inside] = rank[inside + span] + 1
+            key = rank * (size + 1) + follow
+            order = np.argsort(key, kind="stable")
+            rank = np.empty(size, np.int64)
+            rank[order] = np.cumsum(np.r_[0, key[order[1:]] != key[order[:-1]]])
+            levels.append(rank.astype(np.int32))
+            span *= 2
+        one, two = order[:-1], order[1:]
+        common = np.zeros(size, np.int64)
+        common[0] = -1
+        shared = np.zeros(size - 1, np.int64)
+        for level in range(len(levels) - 1, -1, -1):
+            step = 1 << level
+            # Suffixes that end early have ranks of their own length; only whole steps count here.
+            fits = np.flatnonzero((left[one] - shared >= step) & (left[two] - shared >= step))
+            equal = levels[level][one[fits] + shared[fits]] == levels[level][two[fits] + shared[fits]]
+            shared[fits[equal]] += step
+        common[1:] = shared
+        place = np.argsort(record[order], kind="stable")
+        owner = record[order][place]
+        same = np.full(size, -1, np.int64)
+        follows = np.flatnonzero(owner[1:] == owner[:-1])
+        same[place[follows + 1]] = place[follows]
+        return cls(order, left[order], common, same)
+
+    def intervals(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a starting position, occurrences, records) of each run of n terms."""
+        if not len(self.suffixes):
+            return self.suffixes, self.suffixes, self.suffixes
+        starts = np.flatnonzero(self.common < n)
+        size = np.diff(np.r_[starts, len(self.suffixes)])
+        inside = self.same >= np.repeat(starts, size)
+        records = size - np.add.reduceat(inside.astype(np.int64), starts)
+        # Only a suffix by itself can be shorter than n.
+        long = self.lengths[starts] >= n
+        return self.suffixes[starts[long]], size[long], records[long]
 
 
 def spelled(tokens: pa.ListArray, vocabulary: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -86,10 +132,12 @@ def one_per_record(records: DataFrame, key: str, columns: tuple[str, ...], order
     return rows.groupBy(key).agg(first).select(key, "r.*")
 
 
-def run_frequencies(records: DataFrame, depth: int = 1) -> DataFrame:
-    """``n, terms ARRAY<STRING>, occurrences, records`` over ``tokens, vocabulary`` of distinct records.
+def run_frequencies(records: DataFrame, least: int = 1, most: int | None = 1) -> DataFrame:
+    """``n, terms ARRAY<STRING>, occurrences, records`` of all runs of ``least`` to ``most`` terms.
 
-    Empty records and records without vocabulary have no terms; an empty table gives no rows.
+    records: ``tokens, vocabulary`` of distinct records. ``most`` None reaches to the longest record; the runs of
+    all lengths are quadratic in the length of a record, so ask for what is needed. Runs lie within one
+    record. Empty records and records without vocabulary have no terms; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +149,15 @@ def run_frequencies(records: DataFrame, depth: int = 1) -> DataFrame:
             lists = [table.column(c).combine_chunks() if table.num_rows else pa.array([]) for c in ("tokens", "vocabulary")]
             lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
             code, record, spellings = spelled(*lists)
-            for n, at, occurrences, in_records in intervals(code, record, depth):
-                picks = code[(at[:, None] + np.arange(n)).reshape(-1)]
-                terms = pa.ListArray.from_arrays(pa.array(np.arange(0, len(picks) + 1, n), pa.int32()), spellings.take(pa.array(picks)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n), pa.int32()), terms, pa.array(occurrences, pa.int64()), pa.array(in_records, pa.int64())], ["n", "terms", "occurrences", "records"])
+            array = SuffixArray.of(code, record)
+            longest = int(array.lengths.max()) if len(code) else 0
+            for n in range(least, (longest if most is None else min(most, longest)) + 1):
+                at, occurrences, in_records = array.intervals(n)
+                for lo in range(0, len(at), max(1, CHUNK_TERMS // n)):
+                    cut = slice(lo, lo + max(1, CHUNK_TERMS // n))
+                    picks = code[(at[cut, None] + np.arange(n)).reshape(-1)]
+                    terms = pa.ListArray.from_arrays(pa.array(np.arange(0, len(picks) + 1, n), pa.int32()), spellings.take(pa.array(picks)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), n), pa.int32()), terms, pa.array(occurrences[cut], pa.int64()), pa.array(in_records[cut], pa.int64())], ["n", "terms", "occurrences", "records"])
 
         for b in batches:
             held.append(b)

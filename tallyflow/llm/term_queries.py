@@ -9,6 +9,10 @@ from tallyflow.llm.term_frequency import DIGITS, END, LETTERS, bands, one_per_re
 from tallyflow.sources.tables import read_table
 
 
+#: The longest phrases reported.
+PHRASE = 5
+
+
 def _records(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
     return one_per_record(read_table(spark, sf, "tokenized"), "segment_id", ("tokens", "vocabulary", *extra), "written_at")
 
@@ -29,8 +33,8 @@ def found_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs of two and three terms that occur in at least two records."""
-    return run_frequencies(_records(spark, sf), depth=3).filter("n > 1 and records > 1").select("n", F.array_join("terms", " ").alias("phrase"), "occurrences", "records")
+    """Runs of two to PHRASE terms that occur in at least two records."""
+    return run_frequencies(_records(spark, sf), 2, PHRASE).filter("records > 1").select("n", F.array_join("terms", " ").alias("phrase"), "occurrences", "records")
 
 
 def run_types(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,9 +70,9 @@ _OCCURRENCES = """WITH d AS (SELECT segment_id, run_id, checkpoint, tokens, voca
 ORACLE = {
     "p5_found": f"{_OCCURRENCES} SELECT term, 'rare' AS band FROM b WHERE records <= 2 UNION ALL SELECT term, 'common' FROM b WHERE records * 2 >= w",
     "p5_terms": f"{_OCCURRENCES} SELECT term, occurrences, records, concat_ws(',', CASE WHEN records <= 2 THEN 'rare' END, CASE WHEN records * 2 >= w THEN 'common' END) AS bands FROM b",
-    "p5_phrases": f"""{_OCCURRENCES}, n AS (SELECT segment_id, term AS t1, lead(term) OVER w AS t2, lead(term, 2) OVER w AS t3 FROM o WHERE term IS NOT NULL WINDOW w AS (PARTITION BY segment_id ORDER BY pos)),
- g AS (SELECT segment_id, 2 AS n, t1 || ' ' || t2 AS phrase, [t1, t2] AS l FROM n WHERE t2 IS NOT NULL UNION ALL SELECT segment_id, 3, t1 || ' ' || t2 || ' ' || t3, [t1, t2, t3] FROM n WHERE t3 IS NOT NULL)
- SELECT n, any_value(phrase) AS phrase, count(*) AS occurrences, count(DISTINCT segment_id) AS records FROM g GROUP BY n, l HAVING count(DISTINCT segment_id) > 1""",
+    "p5_phrases": f"""{_OCCURRENCES}, q AS (SELECT segment_id, list(term ORDER BY pos) AS t FROM o WHERE term IS NOT NULL GROUP BY segment_id),
+ g AS (SELECT segment_id, n, t[p : p + n - 1] AS l FROM (SELECT segment_id, t, n, unnest(range(1, len(t) - n + 2)) AS p FROM q, (SELECT CAST(unnest([2, 3, 4, 5]) AS INTEGER) AS n)))
+ SELECT n, array_to_string(l, ' ') AS phrase, count(*) AS occurrences, count(DISTINCT segment_id) AS records FROM g GROUP BY n, l HAVING count(DISTINCT segment_id) > 1""",
     "p5_types": f"""{_OCCURRENCES}, s AS (SELECT DISTINCT run_id, checkpoint FROM d), u AS (SELECT d.run_id, o.term, min(d.checkpoint) AS checkpoint FROM o JOIN d USING (segment_id) WHERE term IS NOT NULL GROUP BY ALL),
  r AS (SELECT run_id, checkpoint, min(distinct_types) AS stated FROM results GROUP BY ALL)
  SELECT s.run_id, s.checkpoint, count(u.term) AS types, any_value(r.stated) AS stated, count(u.term) = any_value(r.stated) AS agrees FROM s LEFT JOIN u ON u.run_id = s.run_id AND u.checkpoint <= s.checkpoint

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyflow.llm.term_frequency import DIGITS, END, LATER, LETTERS, bands, intervals, one_per_record, run_frequencies
+from tallyflow.llm.term_frequency import DIGITS, END, LATER, LETTERS, SuffixArray, bands, one_per_record, run_frequencies
 
 SCHEMA = "segment_id bigint, tokens array<int>, vocabulary array<string>, written_at timestamp, terms string"
 
@@ -34,17 +34,21 @@ def brute(records, depth):
     return {g: (occ[g], rec[g]) for g in occ}
 
 
-def test_intervals_equal_brute_force():
+def test_intervals_equal_brute_force_up_to_the_longest_record():
     rng = random.Random(8)
-    for _ in range(20):
-        records = [[rng.randrange(4) for _ in range(rng.randrange(0, 9))] for _ in range(12)]
+    for turn in range(30):
+        records = [[rng.randrange(1 + turn % 4) for _ in range(rng.randrange(0, 40))] for _ in range(12)]
+        records += [records[0], records[1] * 2]
         code = np.array([w for r in records for w in r], np.int64)
         record = np.array([i for i, r in enumerate(records) for _ in r], np.int64)
+        array = SuffixArray.of(code, record)
+        longest = max(map(len, records))
         got = {}
-        for n, at, occ, rec in intervals(code, record, 3):
-            for a, o, r in zip(at, occ, rec):
+        for n in range(1, longest + 1):
+            for a, o, r in zip(*array.intervals(n)):
                 got[tuple(code[a : a + n].tolist())] = (o, r)
-        assert got == brute(records, 3)
+        assert got == brute(records, longest)
+        assert not len(array.intervals(longest + 1)[0])
 
 
 def test_frequencies_of_a_table(spark):
@@ -53,8 +57,8 @@ def test_frequencies_of_a_table(spark):
     rows = [(i, *encode(w), None, "clash") for i, w in enumerate(records)]
     df = spark.createDataFrame(rows + rows[:5], SCHEMA)
     one = one_per_record(df, "segment_id", ("tokens", "vocabulary"), "written_at")
-    got = {tuple(r["terms"]): (r["occurrences"], r["records"]) for r in run_frequencies(one, 2).collect()}
-    assert got == brute(records, 2)
+    got = {tuple(r["terms"]): (r["occurrences"], r["records"]) for r in run_frequencies(one, 1, None).collect()}
+    assert got == brute(records, 40)
 
 
 def test_dirty_records(spark):
