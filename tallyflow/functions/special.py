@@ -50,8 +50,3 @@ def add_one_state_bits(c: str, alphabet: int) -> Column:
     """Aggregate: bits of one state by the add-one rule (depth 1 of the layered mixture)."""
     n = F.sum(c)
     return (lgamma(n + float(alphabet)) - math.lgamma(alphabet) - F.sum(lgamma(F.col(c) + 1.0))) / LN2
-
-
-def log2_sum_exp(x: str) -> Column:
-    """Aggregate: log2 of the sum of 2**x, stable (two aggregates, no join)."""
-    return F.expr(f"max({x}) + log2(aggregate(collect_list({x}), 0D, (a, v) -> a + power(2D, v - array_max(collect_list({x})))))")

@@ -32,11 +32,11 @@ class Anchor:
 def design_anchors(n: int, least_prefix: int, window: int, early: int, late: int, each: int, seed: int = 0) -> list[Anchor]:
     """Anchors at random places of ``early`` strata that grow by a constant ratio and ``late`` equal ones.
 
-    Eligible positions are [least_prefix, n - window]; early strata cover the first tenth of them. Every
+    Eligible positions are [least_prefix, n - window]; early strata cover the first twentieth of n of them. Every
     stratum gives ``each`` distinct anchors; the weights add up to the eligible positions.
     """
     last = n - window + 1
-    turn = least_prefix + max(early, (last - least_prefix) // 10)
+    turn = min(least_prefix + max(early, n // 20), last - late)
     ratio = (turn / least_prefix) ** (1 / early)
     edges = [round(least_prefix * ratio**k) for k in range(early)] + [turn + round((last - turn) * k / late) for k in range(late + 1)]
     rng = np.random.default_rng(seed)
@@ -91,11 +91,11 @@ def bootstrap_interval(values: DataFrame, populations: DataFrame, replicates: in
 def zero_age(rings: Iterable[tuple[float, float, float, float]], prefix: float) -> dict[str, float]:
     """Loss at age zero from rings (start, stop, tokens, mean): weighted straight and quadratic fits.
 
-    The age of a ring is the middle of its offsets relative to the prefix; tokens are the weights. A quadratic needs
+    The age of a ring is the middle of its offsets start..stop - 1 relative to the prefix; tokens are the weights. A quadratic needs
     three rings, a straight line two; what can't be fitted is nan.
     """
     rows = np.array([r for r in rings if r[2] > 0], float).reshape(-1, 4)
-    age, weight = (rows[:, 0] + rows[:, 1]) / 2 / prefix, rows[:, 2]
+    age, weight = (rows[:, 0] + rows[:, 1] - 1) / 2 / prefix, rows[:, 2]
     out = {}
     for name, degree in (("linear", 1), ("quadratic", 2)):
         out[name] = float(np.polyfit(age, rows[:, 3], degree, w=np.sqrt(weight))[-1]) if len(rows) > degree else math.nan

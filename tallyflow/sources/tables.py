@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -16,8 +19,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) is a temporary folder set; on a cluster the
-    session's own setting always wins, since executors cannot read a folder of the driver's machine.
+    Only a local session that names none (a test) gets a temporary folder, deleted when Python ends; a
+    cluster's executors couldn't read a folder of the driver's machine, so there the setting is required.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -25,7 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tallyflow-')}")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors can reach")
+    own = tempfile.mkdtemp(prefix="tallyflow-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(f"file://{own}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 

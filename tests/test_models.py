@@ -278,7 +278,9 @@ def test_design_and_estimates(spark):
     anchors = sampling.design_anchors(1_000_000, 2050, 4096, 8, 24, 2)
     assert len(anchors) == 64
     assert sum(a.weight for a in anchors) == pytest.approx(1_000_000 - 4096 + 1 - 2050)
-    fit = sampling.zero_age([(0, 10, 10, 1.0 + 2 * 0.05), (10, 40, 30, 1.0 + 2 * 0.25), (40, 100, 60, 1.0 + 2 * 0.7)], 100)
+    # The early strata end a twentieth of all positions after the least prefix.
+    assert anchors[16].start == 2050 + 50_000 and anchors[0].start == 2050
+    fit = sampling.zero_age([(0, 10, 10, 1.0 + 2 * 0.045), (10, 40, 30, 1.0 + 2 * 0.245), (40, 100, 60, 1.0 + 2 * 0.695)], 100)
     assert fit["linear"] == pytest.approx(1.0) and fit["quadratic"] == pytest.approx(1.0)
     values = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 10.0)], "stratum int, value double")
     sizes = spark.createDataFrame([(1, 10), (2, 30)], "stratum int, size bigint")

@@ -2,7 +2,10 @@ import datetime as dt
 import json
 import random
 
-from tallyflow.operators.schema_drift import consistent_table, drift_report, fused_schema, leaves_of
+import pandas as pd
+
+from tallyflow.operators import schema_drift
+from tallyflow.operators.schema_drift import _beginning, compose, consistent_table, drift_report, fuse, fused_schema, leaves_of, one_file, wide_table
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "file_id bigint, series_id bigint, written_at timestamp, received_at timestamp, payload string, path string"
@@ -70,3 +73,71 @@ def test_fused_schema_and_table(spark):
     assert table[1, "a"]["as_integer"] == 1 and table[2, "a"]["as_decimal"] == 1.5 and table[2, "a"]["as_integer"] is None
     assert [table[f, "b"]["canonical_number"] for f in (1, 2, 3)] == [7.0, 3.0, 1.0]
     assert table[3, "a"]["canonical_number"] is None
+
+
+def test_renamed_fields_go_on_under_their_first_name_in_chunks_of_any_size(spark):
+    rows = [(1, 1, 0, '{"degree": 10}'), (2, 1, 1, '{"deg": 10, "x": null}'), (3, 1, 2, '{"deg": null, "x": 123456789012345678901234567890}'), (4, 1, 3, '{"d": 10, "x": 2}'), (5, 1, 4, '{"x": 2, "degree": 11}'), (6, 2, 0, '{"d": 1}')]
+    for size in (1, 2, 100):
+        table = {(r["file_id"], r["path"]): r for r in consistent_table(files(spark, rows), size).collect()}
+        assert {k: r["field"] for k, r in table.items() if k[1] != "x"} == {(1, "degree"): "degree", (2, "deg"): "degree", (3, "deg"): "degree", (4, "d"): "degree", (5, "degree"): "degree", (6, "d"): "d"}
+        assert table[3, "x"]["lexeme"] == "123456789012345678901234567890" and table[3, "x"]["as_integer"] is None
+    wide = {r["file_id"]: r for r in wide_table(consistent_table(files(spark, rows))).collect()}
+    assert [wide[f]["degree"] for f in range(1, 7)] == [10.0, 10.0, None, 10.0, None, None] or wide[5]["degree"] == 11.0
+
+
+def leaves_at_random(rng, nulls):
+    pick = lambda: ("null", None) if rng.random() < nulls else rng.choice([("integer", "10"), ("decimal", "10.0"), ("integer", "20"), ("text", "t")])
+    return {n: pick() for n in "abcd" if rng.random() < 0.85}
+
+
+def held(state):
+    """Field and alternative of each path, as if nothing preceded."""
+    return state and {p: (b[0], b[3], b[4]) for p, b in compose(None, state)["pieces"][-1]["union"].items()}
+
+
+def test_segments_compose_in_any_grouping():
+    rng = random.Random(6)
+    for _ in range(300):
+        series, parts, start = 1, [], 0
+        for i in range(12):
+            if rng.random() < 0.1:
+                series, start = series + 1, i
+            parts.append(one_file(series, leaves_at_random(rng, 0.6)))
+        union = None
+        for x in parts[start:]:
+            leaves = x["pieces"][0]["first"]
+            union = _beginning(leaves, True) if union is None else fuse(union, leaves)[0]
+
+        def grouped(lo, hi):
+            if hi - lo == 1:
+                return parts[lo]
+            cut = rng.randrange(lo + 1, hi)
+            return compose(grouped(lo, cut), grouped(cut, hi))
+
+        assert held(grouped(0, 12)) == {p: (b[0], b[3], b[4]) for p, b in union.items()}
+
+
+def test_rounds_of_states_give_what_precedes_each_chunk(monkeypatch):
+    monkeypatch.setattr(schema_drift, "FAN_IN", 3)
+    rng = random.Random(7)
+    for _ in range(40):
+        # One series throughout, with fields that stay null over several chunks.
+        parts = [one_file(1, leaves_at_random(rng, 0.7)) for _ in range(25)]
+        want, union = [], None
+        for x in parts:
+            leaves = x["pieces"][0]["first"]
+            want.append(union and {p: (b[0], b[3], b[4]) for p, b in union.items()})
+            union = _beginning(leaves, True) if union is None else fuse(union, leaves)[0]
+        level, got = pd.DataFrame({"chunk": range(25), "state": [json.dumps(x) for x in parts]}), []
+        while True:
+            done = pd.concat([schema_drift._round(g) for _, g in level.groupby(level["chunk"] // 3)])
+            got.append(done[~done["whole"]])
+            if len(level) <= 3:
+                break
+            level = done[done["whole"]]
+        above = got.pop().set_index("chunk")["state"].to_dict()
+        while got:
+            own = got.pop()
+            rows = own.assign(above=[above[c // 3] for c in own["chunk"]])
+            above = pd.concat(schema_drift._join_states(iter([rows]))).set_index("chunk")["state"].to_dict()
+        assert [held(json.loads(above[c]) if above[c] else None) for c in range(25)] == want
