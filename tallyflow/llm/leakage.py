@@ -1,9 +1,15 @@
 """Held-out passages inside a corpus, found by latent semantic retrieval.
 
 Method: passages (short windows of words) become TF-IDF vectors over the words of the held-out items; a
-distributed randomised SVD of all passages gives their latent space; passages of documents are searched
-against those of items by cosine; candidates are then read word by word: the longest common run, the
-longest common subsequence, and how many of the item's telling words (the answer check) the passage has.
+distributed randomised SVD of all passages gives their latent space; the signs of random projections of the
+latent vectors put the items' passages into the buckets of several tables, and a passage of a document is
+compared by cosine with those that share a bucket with it. Candidates are then read word by word: the longest
+common run, the longest common subsequence, and how many of the item's telling words (the answer check) the
+passage has.
+
+Equal passages share every bucket, since signs are taken of whole numbers, so no copied run can be missed. Of
+others as similar as the cosine asked for, at least RECALL share a bucket on average: the number of tables
+follows from the cosine and the number of buckets.
 
 Only stretches of a document whose words all occur in held-out items can hold a copied run, so for copied
 runs only these stretches become passages; they are a small part of a corpus. For paraphrases every window
@@ -22,7 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.sources.tables import cut, spread
@@ -36,8 +42,13 @@ assert PASSAGE + STEP - 1 <= LEAK
 RANK, EXTRA, ITERATIONS = 32, 8, 1
 #: Held-out text that one pass over the corpus searches for; more of it takes more passes.
 BLOCK_CHARS = 8_000_000
-#: Document passages compared in one matrix product.
-TILE = 1024
+#: Document passages handled at a time, and candidate pairs held at a time.
+TILE, MOST_PAIRS = 1024, 2_000_000
+#: Share of passages at the cosine asked for that meet in a bucket, passages of items in a bucket, bits of a bucket.
+RECALL, BUCKET, BITS = 0.97, 8, (4, 14)
+#: A paraphrase has a common subsequence of so many words, and either such a share of the item's telling words or
+#: such a share of the shorter text (a part of an item may be told alone).
+PARAPHRASE_WORDS, PARAPHRASE_ANSWER, PARAPHRASE_SHARE = 12, 0.5, 0.6
 
 
 def words_of(text: str | None) -> list[str]:
@@ -191,7 +202,9 @@ def latent_space(found: DataFrame, items: Items, idf: np.ndarray, seed: int = 7)
                     y = _project(p, sent.value)
                     for k in range(PASSAGE):
                         np.add.at(total, p[:, k], y)
-            yield pd.DataFrame({"word": np.arange(size, dtype=np.int32), "row": list(total[:size])})
+            # Most tasks touch few of the words.
+            touched = np.flatnonzero(total[:size].any(1))
+            yield pd.DataFrame({"word": touched.astype(np.int32), "row": pd.Series(list(total[touched]), dtype=object)})
 
         each = [F.sum(F.col("row")[k]).alias(f"c{k}") for k in range(width)]
         summed = found.select("words").mapInPandas(run, "word int, row array<double>").groupBy("word").agg(*each).toPandas()
@@ -215,13 +228,59 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / length
 
 
+class Buckets:
+    """Passages of items by the signs of random projections of their latent vectors, in several tables."""
+
+    def __init__(self, space: np.ndarray, passages: np.ndarray, cosine: float, seed: int = 11):
+        bits = int(np.clip(round(np.log2(max(len(passages), 1) / BUCKET)), *BITS))
+        # Two vectors at an angle have unlike signs with probability angle / pi.
+        meet = (1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi) ** bits
+        tables = max(1, int(np.ceil(np.log(1 - RECALL) / np.log(1 - min(meet, 1 - 1e-9)))))
+        rng = np.random.default_rng(seed)
+        self.shape = (tables, bits)
+        # Whole numbers: their sums are exact in any order, so equal passages have equal signs.
+        self.planes = np.rint(rng.standard_normal((space.shape[1], tables * bits)) * 64)
+        self.scale = 2**20 / max(float(np.abs(space).max(initial=0)) * PASSAGE, 1e-30)
+        codes = self.codes(_project(passages, space))
+        self.order = np.argsort(codes, axis=0, kind="stable").T.copy()
+        self.codes_sorted = np.take_along_axis(codes.T, self.order, 1)
+
+    def codes(self, latent: np.ndarray) -> np.ndarray:
+        """passages x tables."""
+        side = (np.rint(latent.astype(np.float64) * self.scale) @ self.planes > 0).reshape(len(latent), *self.shape)
+        return side @ (1 << np.arange(self.shape[1]))
+
+    def pairs(self, latent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row of ``latent``, item passage) of all that share a bucket, each pair once, some at a time."""
+        codes = self.codes(latent)
+        low = np.array([np.searchsorted(self.codes_sorted[t], codes[:, t], "left") for t in range(self.shape[0])])
+        high = np.array([np.searchsorted(self.codes_sorted[t], codes[:, t], "right") for t in range(self.shape[0])])
+        size = high - low
+        upto = np.cumsum(size.sum(0))
+        start = 0
+        while start < len(latent):
+            done = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, done + MOST_PAIRS, "right")))
+            keys = []
+            for t in range(self.shape[0]):
+                n = size[t, start:stop]
+                rows = np.repeat(np.arange(start, stop), n)
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[t, start:stop], n)
+                keys.append(rows * self.order.shape[1] + self.order[t, at])
+            key = np.unique(np.concatenate(keys))
+            yield key // self.order.shape[1], key % self.order.shape[1]
+            start = stop
+
+
 def common_run(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
-    """Length of the longest common run through the equal passages at a[i:] and b[j:]."""
+    """Length of the longest run of words at the same distance in a and b that touches the passages at a[i:] and b[j:]."""
     back = min(i, j)
-    before = a[i - back : i][::-1] != b[j - back : j][::-1]
-    ahead = min(len(a) - i, len(b) - j)
-    after = a[i : i + ahead] != b[j : j + ahead]
-    return (int(before.argmax()) if before.any() else back) + (int(after.argmax()) if after.any() else ahead)
+    size = min(len(a) - i, len(b) - j) + back
+    same = a[i - back : i - back + size] == b[j - back : j - back + size]
+    edge = np.flatnonzero(np.diff(np.r_[False, same, False]))
+    starts, stops = edge[::2], edge[1::2]
+    touching = (starts < back + PASSAGE) & (stops > back)
+    return int((stops - starts)[touching].max(initial=0))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -237,11 +296,11 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(b) - row.bit_count()
 
 
-def search(found: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, key_type: str, cosine: float, paraphrases: bool) -> DataFrame:
+def search(found: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, cosine: float, paraphrases: bool) -> DataFrame:
     """``doc, item, run, lcs, share, answer`` of every pair with a candidate passage.
 
-    Every passage of the documents is compared with every passage of the block's items. Without
-    ``paraphrases`` only pairs with LEAK common consecutive words are kept and lcs, share and answer are null.
+    Passages of the documents are compared with those of the block's items that share a bucket with them.
+    Without ``paraphrases`` only pairs with LEAK common consecutive words are kept and lcs, share and answer are 0.
     """
     context = found.sparkSession.sparkContext
     targets = _unit(_project(items.passages, space))
@@ -249,10 +308,10 @@ def search(found: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, k
     for w in items.words:
         u = np.unique(w)
         telling.append(u[idf[u] >= np.median(idf[u])] if len(u) else u)
-    sent = context.broadcast((items, targets, space, telling, idf))
+    sent = context.broadcast((items, targets, space, telling, idf, Buckets(space, items.passages, cosine)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, targets, space, telling, idf = sent.value
+        items, targets, space, telling, idf, buckets = sent.value
         for b in batches:
             best: dict[tuple, list] = {}
             texts = [np.asarray(w, np.int32) for w in b["words"]]
@@ -261,38 +320,49 @@ def search(found: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, k
             owner = np.repeat(np.arange(len(texts)), [len(v) for v in views])
             place = np.concatenate([np.arange(len(v)) for v in views]) if views else np.zeros(0, int)
             every = np.concatenate(views) if views else np.zeros((0, PASSAGE), np.int32)
+            met: set[tuple[int, int]] = set()
             for lo in range(0, len(every), TILE):
                 part = every[lo : lo + TILE]
-                unit = _unit(_project(part, space))
-                near = (unit * known_share(part, idf).astype(unit.dtype)[:, None] if paraphrases else unit) @ targets.T
-                rows, cols = np.nonzero(near >= cosine)
-                same = (part[rows] == items.passages[cols]).all(1)
-                for r, c in zip(rows[same].tolist(), cols[same].tolist()):
-                    item, j = items.at[c]
-                    n = common_run(texts[owner[lo + r]], int(place[lo + r]), items.words[item], int(j))
-                    if n >= LEAK or paraphrases:
-                        pair = best.setdefault((docs[owner[lo + r]], int(item)), [0, 0, 0.0, 0.0])
-                        pair[0] = max(pair[0], n)
-                if paraphrases:
-                    near_pairs = np.unique(np.c_[owner[lo + rows], items.at[cols, 0]], axis=0)
-                    for o, item in near_pairs.tolist():
-                        length = common_subsequence(texts[o], items.words[item])
-                        pair = best.setdefault((docs[o], item), [0, 0, 0.0, 0.0])
-                        pair[1] = max(pair[1], length)
-                        pair[2] = max(pair[2], length / min(len(texts[o]), len(items.words[item])))
-                        pair[3] = max(pair[3], float(np.isin(telling[item], texts[o]).mean()))
+                latent = _project(part, space)
+                unit = _unit(latent)
+                share = known_share(part, idf).astype(unit.dtype) if paraphrases else np.ones(len(part), unit.dtype)
+                for rows, cols in buckets.pairs(latent):
+                    near = np.einsum("ij,ij->i", unit[rows], targets[cols]) * share[rows] >= cosine
+                    rows, cols = rows[near], cols[near]
+                    # A run of LEAK words through a passage has half of it side by side, or goes through another passage whole.
+                    beside = (part[rows] == items.passages[cols]).sum(1) * 2 > PASSAGE
+                    for r, c in zip(rows[beside].tolist(), cols[beside].tolist()):
+                        item, j = items.at[c]
+                        n = common_run(texts[owner[lo + r]], int(place[lo + r]), items.words[item], int(j))
+                        if n >= LEAK or paraphrases:
+                            pair = best.setdefault((docs[owner[lo + r]], int(item)), [0, 0, 0.0, 0.0])
+                            pair[0] = max(pair[0], n)
+                    if paraphrases:
+                        met.update(map(tuple, np.unique(np.c_[owner[lo + rows], items.at[cols, 0]], axis=0).tolist()))
+            for o, item in met:
+                length = common_subsequence(texts[o], items.words[item])
+                pair = best.setdefault((docs[o], item), [0, 0, 0.0, 0.0])
+                pair[1] = max(pair[1], length)
+                pair[2] = max(pair[2], length / min(len(texts[o]), len(items.words[item])))
+                pair[3] = max(pair[3], float(np.isin(telling[item], texts[o]).mean()))
             yield pd.DataFrame([(d, str(items.ids[i]), *v) for (d, i), v in best.items()], columns=["doc", "item", "run", "lcs", "share", "answer"])
 
     pairs = found.select("doc", "words").mapInPandas(run, "doc string, item string, run int, lcs int, share double, answer double")
     return pairs.groupBy("doc", "item").agg(*[F.max(c).alias(c) for c in ("run", "lcs", "share", "answer")])
 
 
+def label() -> Column:
+    """``copied`` from LEAK common consecutive words on; ``paraphrased`` by a long common subsequence that has the item's telling words or most of the shorter text; else ``similar``."""
+    told = (F.col("lcs") >= PARAPHRASE_WORDS) & ((F.col("answer") >= PARAPHRASE_ANSWER) | (F.col("share") >= PARAPHRASE_SHARE))
+    return F.when(F.col("run") >= LEAK, "copied").when(told, "paraphrased").otherwise("similar")
+
+
 def leaks(documents: DataFrame, items: DataFrame, cosine: float, paraphrases: bool, least: int = LEAK, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """Pairs of document and item: ``doc_key, item_key, run, lcs, share, answer``.
 
     For paraphrases lcs, share and answer are of the part of the document that windows near enough to any item
     cover, unknown words included; ``least`` is only for copied runs.
-    Equal passages have equal vectors and thus cosine 1, so no leak of LEAK words can be missed at any
+    Equal passages share their buckets and have cosine 1, so no leak of LEAK words can be missed at any
     ``cosine`` below 1. Without items or documents there are no rows.
     """
     spark = documents.sparkSession
@@ -311,7 +381,7 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float, paraphrases: bo
             found = cut(reachable(found, idf, cosine), "reachable")
         found = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "start")
         space = latent_space(found, block, idf[:-1])
-        pairs = search(found, block, space, idf, kinds[0], cosine, paraphrases)
+        pairs = search(found, block, space, idf, cosine, paraphrases)
         out = pairs if out is None else out.unionByName(pairs)
     if out is None:
         out = spark.createDataFrame([], "doc string, item string, run int, lcs int, share double, answer double")

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from tallyflow.llm.leakage import LEAK, common_run, common_subsequence, known_share, leaks, words_of
+from tallyflow.llm.leakage import LEAK, Buckets, _project, _unit, common_run, common_subsequence, known_share, label, leaks, words_of
+from tallyflow.llm.leakage_queries import PARAPHRASED
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -92,3 +93,49 @@ def test_known_share_is_the_share_of_the_length():
 def test_empty(spark, docs, items):
     dd, ii = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     assert leaks(dd, ii, 0.99, False).collect() == []
+
+
+def test_buckets_find_most_pairs_of_the_cosine_asked_for():
+    rng = np.random.default_rng(4)
+    space = rng.standard_normal((500, 32)).astype(np.float32)
+    passages = rng.integers(0, 500, (3000, 8)).astype(np.int32)
+    probes = passages[rng.integers(0, 3000, 1500)].copy()
+    for row in probes[100:]:
+        at = rng.integers(0, 8, 2)
+        row[at] = rng.integers(0, 500, 2)
+    buckets, targets = Buckets(space, passages, 0.8), _unit(_project(passages, space))
+    near = set(zip(*map(np.ndarray.tolist, np.nonzero(_unit(_project(probes, space)) @ targets.T >= 0.8))))
+    got = {(r, c) for rows, cols in buckets.pairs(_project(probes, space)) for r, c in zip(rows.tolist(), cols.tolist())}
+    assert len(near) > 300 and len(near & got) / len(near) >= 0.9
+    assert len(got) < 0.5 * probes.shape[0] * len(passages)
+    equal = {(r, c) for r in range(100) for c in np.flatnonzero((passages == probes[r]).all(1)).tolist()}
+    assert equal <= got
+
+
+def test_planted_paraphrases_are_found(spark):
+    """Recall of paraphrases by swaps for words of no item and insertions: at least 0.9, labelled as such."""
+    rng = random.Random(5)
+    common, rare = [f"c{k}" for k in range(120)], [f"r{k}" for k in range(3000)]
+    sentence = lambda n: [rng.choice(common) if rng.random() < 0.5 else rng.choice(rare) for _ in range(n)]
+    items = [(i, sentence(rng.randrange(30, 80))) for i in range(120)]
+    docs, planted = [], set()
+    for d in range(600):
+        text = [rng.choice(common) if rng.random() < 0.5 else f"own{rng.randrange(4000)}" for _ in range(150)]
+        if d % 2 == 0:
+            i, w = items[rng.randrange(len(items))]
+            a = rng.randrange(0, len(w) - 28)
+            out = []
+            for k, x in enumerate(w[a : a + 28]):
+                out.append(f"swap{rng.randrange(9999)}" if rng.random() < 0.08 else x)
+                if k % 11 == 10:
+                    out.append(f"extra{rng.randrange(9999)}")
+            text[60:60] = out
+            planted.add((d, i))
+        docs.append((d, " ".join(text)))
+    dd = spark.createDataFrame(docs, "doc_id bigint, text string")
+    ii = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    rows = leaks(dd, ii, PARAPHRASED, True).withColumn("kind", label()).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in rows}
+    told = {(r["doc_id"], r["item_id"]) for r in rows if r["kind"] != "similar"}
+    assert len(found & planted) / len(planted) >= 0.9
+    assert len(told & planted) / len(planted) >= 0.9 and len(told & planted) / len(told) >= 0.9
