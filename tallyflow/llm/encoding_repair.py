@@ -2,10 +2,14 @@
 
 Method: best-first search. A node is a spelling of one passage (a run of non-ASCII characters and
 character references); an edge encodes it in one encoding and decodes the bytes in another, or resolves
-character references; a visited set of spellings keeps the graph finite. A plausibility cost of the
-characters and of their neighbours guides the search, and the cheapest spelling reached, counting the
-steps, is the restoration. A passage is garbled if that spelling is another one and lies behind a
-decoding, or if it holds traces that no decoding removes (bytes were lost).
+character references, or decodes bytes of which some were lost: traces of these become a character that
+stands for an unknown one. A visited set of spellings keeps the graph finite. A plausibility cost of the
+characters and of their neighbours, in which such traces weigh much, guides the search; the cheapest
+spelling reached, counting the steps, is the restoration, unknown characters being written as the traces
+they were read from. A passage is garbled if that spelling lies behind a decoding.
+
+The search ends when no node left can lead to a cheaper spelling: each step costs something and no
+spelling costs less than nothing. Decoding and resolving make a spelling shorter, so it does end.
 """
 
 from __future__ import annotations
@@ -28,7 +32,13 @@ PASSAGE = re.compile(r"(?:[^\x00-\x7f]|&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-
 SINGLE_BYTE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp866", "koi8_r")
 #: Encodings that read two bytes at a time, and pairs of single-byte encodings, tried on whole passages.
 WHOLE = (("gb18030", "utf-8"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1251", "koi8_r"), ("cp1251", "cp866"))
-STEP_COST, UNCOVERED_COST, LEAST_GAIN, MOST_NODES = 0.5, 1.2, 0.8, 300
+STEP_COST, UNCOVERED_COST, LEAST_GAIN = 0.5, 1.2, 0.8
+#: A trace of lost bytes, the step that reads it as an unknown character, and such a character.
+TRACE_COST, LOSSY_COST, UNKNOWN_COST = 6.0, 1.0, 2.0
+#: A Cyrillic or Greek letter at the edge of a passage right beside an ASCII letter.
+GLUED_COST = 0.6
+#: Unknown characters: code points that never stand for a character.
+UNKNOWN = tuple(map(chr, range(0xFDD0, 0xFDF0)))
 
 _COMMON_LOWER = set("àâäáãåæçéèêëíìîïñóòôöõøúùûüýÿßœ")
 _PUNCTUATION = set("‘’“”„‚–—…«»¿¡‹›†‡•·‰")
@@ -53,6 +63,8 @@ def _kind(ch: str) -> tuple[str, str, float]:
     o = ord(ch)
     if o < 0x80:
         return ("A", "", 0.3)
+    if ch in UNKNOWN:
+        return ("X", "", UNKNOWN_COST)
     if ch == "�" or 0x80 <= o <= 0x9F:
         return ("C", "", 6.0)
     if ch in _COMMON_LOWER:
@@ -186,34 +198,75 @@ _LONE_LEAD = re.compile(r"[âãïÂÃÎÏ](?<=[!-~]\s.)(?=\s[0-9A-Za-z])")
 _MENTION = re.compile(r"(?:\b(?:Zeichen|Buchstaben?|Umlaut|Vokal|letters?|characters?|symbols?|signs?|vowels?|letras?|vogal|vocal|s[ií]mbolos?|lettres?|voyelle|caract[eè]res?|car[aá]cter|lettera|carattere|буквы?|знак|символ)|(?<!\w)[^\W\d_\x00-\x7f](?:,|\s(?:und|oder|and|or|e|o|ou|et|y|og|och)))\s$", re.IGNORECASE)
 
 
-def _lost_leads(text: str) -> int:
-    """Traces of one letter that the passages don't show: the lead of a character whose other bytes were lost."""
-    alone = sum(not _MENTION.search(text, max(0, m.start() - 40), m.start()) for m in _LONE_LEAD.finditer(text))
-    return alone + len(_LOST_APOSTROPHE.findall(text)) + len(_LOST_QUOTES.findall(text))
+def lost_leads(text: str) -> set[int]:
+    """Where a letter's surroundings show it to be the lead of a character whose other bytes were lost."""
+    at = {m.start() for m in _LONE_LEAD.finditer(text) if not _MENTION.search(text, max(0, m.start() - 40), m.start())}
+    at.update(m.start() for m in _LOST_APOSTROPHE.finditer(text))
+    for m in _LOST_QUOTES.finditer(text):
+        at.update((m.start(), m.end() - 1))
+    return at
+
+
+def _lossy(text: str, leads: tuple[int, ...], known: list[str]) -> str | None:
+    """The spelling with every trace of lost bytes read as an unknown character, which ``known`` maps back; None without traces."""
+    out, last = [], 0
+    spans = sorted([(m.start(), m.end()) for m in _LOST.finditer(text)] + [(k, k + 1) for k in leads])
+    for a, b in spans:
+        if a < last:
+            continue
+        trace = text[a:b]
+        if trace not in known:
+            if len(known) == len(UNKNOWN) or UNKNOWN[len(known)] in text:
+                return None
+            known.append(trace)
+        out += [text[last:a], UNKNOWN[known.index(trace)]]
+        last = b
+    return "".join([*out, text[last:]]) if out else None
 
 
 @lru_cache(maxsize=50_000)
-def repair_passage(text: str) -> tuple[str, bool, int]:
-    """(cheapest spelling, was the passage garbled, decodings undone) by best-first search."""
-    start = plausibility_cost(text)
-    best, best_cost, best_steps = text, start, 0
-    heap = [(start, 0, text, 0.0, 0)]
+def repair_passage(text: str, leads: tuple[int, ...] = (), glued: tuple[bool, bool] = (False, False)) -> tuple[str, bool, int, bool]:
+    """(cheapest spelling, was the passage garbled, decodings undone, are bytes lost) by best-first search.
+
+    ``leads``: the places of letters that their surroundings show to be traces (``lost_leads``); ``glued``: does an
+    ASCII letter stand right before and right behind the passage?
+    """
+
+    def cost(spelling: str, marked: tuple[int, ...] = ()) -> float:
+        foreign = sum(bool(beside and spelling) and _kind(spelling[k])[1][:-1] in ("cyrillic", "greek") for beside, k in zip(glued, (0, -1)))
+        return plausibility_cost(spelling) + GLUED_COST * foreign + TRACE_COST * (len(_LOST.findall(spelling)) + len(marked))
+
+    known: list[str] = []
+    start = cost(text, leads)
+    best, best_cost, best_steps, best_lost = text, start, 0, False
+    # (estimate, tie, spelling, paid, decodings, were bytes lost on the way)
+    heap = [(start, 0, text, 0.0, 0, False)]
     visited, tie = {text}, 0
-    while heap and len(visited) < MOST_NODES:
-        _, _, node, paid, steps = heapq.heappop(heap)
-        for new, decoding, step in _edges(node):
+    while heap:
+        _, _, node, paid, steps, lost = heapq.heappop(heap)
+        if paid + STEP_COST >= best_cost:
+            continue
+        edges = [(new, int(decoding), step, lost) for new, decoding, step in _edges(node)]
+        unknown = _lossy(node, leads if node is text else (), known)
+        if unknown is not None:
+            edges.append((unknown, 0, LOSSY_COST, True))
+        for new, decoding, step, gone in edges:
             if new in visited:
                 continue
             visited.add(new)
             g, n = paid + step, steps + decoding
-            total = plausibility_cost(new) + g
-            if n and total < best_cost:
-                best, best_cost, best_steps = new, total, n
+            total = cost(new) + g
+            if (n or gone) and total < best_cost:
+                best, best_cost, best_steps, best_lost = new, total, n, gone
             tie += 1
-            heapq.heappush(heap, (total, tie, new, g, n))
+            heapq.heappush(heap, (total, tie, new, g, n, gone))
     if start - best_cost < LEAST_GAIN:
-        best, best_steps = text, 0
-    return best, bool(best_steps) or bool(_LOST.search(text)), best_steps
+        best, best_steps, best_lost = text, 0, False
+    for mark, trace in zip(UNKNOWN, known):
+        best = best.replace(mark, trace) if best_lost else best
+    # What can't be read otherwise at all (more kinds of traces than there are unknown characters) is lost too.
+    hopeless = bool(_LOST.search(best))
+    return best, bool(best_steps) or best_lost or hopeless, best_steps, best_lost or hopeless
 
 
 def repair(text: str | None) -> tuple[str | None, str, int, int]:
@@ -224,23 +277,25 @@ def repair(text: str | None) -> tuple[str | None, str, int, int]:
     if not text or text.isascii() and "&" not in text:
         return text, "clean", 0, 0
     garbled = kept = depth = 0
+    leads = lost_leads(text)
 
     def one(m: re.Match[str]) -> str:
         nonlocal garbled, kept, depth
-        passage = m.group()
-        if len(passage) == 1 and not _LOST.match(passage):
+        passage, at = m.group(), m.start()
+        marked = tuple(k - at for k in range(at, m.end()) if k in leads) if leads else ()
+        if len(passage) == 1 and not marked and not _LOST.match(passage):
             return passage
-        new, bad, steps = repair_passage(passage)
+        before, behind = text[max(0, at - 1) : at], text[m.end() : m.end() + 1]
+        glued = (before.isascii() and before.isalpha(), behind.isascii() and behind.isalpha())
+        new, bad, steps, lost = repair_passage(passage, marked, glued)
         if bad:
             garbled += 1
             depth = max(depth, steps)
-            kept += bool(_LOST.search(new))
+            kept += lost
             return new
         return passage
 
     out = PASSAGE.sub(one, text)
-    leads = _lost_leads(text)
-    garbled, kept = garbled + leads, kept + leads
     status = "clean" if not garbled else "restored" if not kept else "lost" if kept == garbled else "partial"
     return out, status, garbled, depth
 

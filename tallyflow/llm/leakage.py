@@ -46,9 +46,9 @@ BLOCK_CHARS = 8_000_000
 TILE, MOST_PAIRS = 1024, 2_000_000
 #: Share of passages at the cosine asked for that meet in a bucket, passages of items in a bucket, bits of a bucket.
 RECALL, BUCKET, BITS = 0.97, 8, (4, 14)
-#: A paraphrase has a common subsequence of so many words, and either such a share of the item's telling words or
-#: such a share of the shorter text (a part of an item may be told alone).
-PARAPHRASE_WORDS, PARAPHRASE_ANSWER, PARAPHRASE_SHARE = 12, 0.5, 0.6
+#: A paraphrase has a common subsequence of so many words, and either such a share of the item's telling words with
+#: such a share of the passages, or a larger share of the passages (a part of an item may be told alone).
+PARAPHRASE_WORDS, PARAPHRASE_ANSWER, PARAPHRASE_PART, PARAPHRASE_SHARE = 12, 0.5, 0.3, 0.6
 
 
 def words_of(text: str | None) -> list[str]:
@@ -320,7 +320,7 @@ def search(found: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, c
             owner = np.repeat(np.arange(len(texts)), [len(v) for v in views])
             place = np.concatenate([np.arange(len(v)) for v in views]) if views else np.zeros(0, int)
             every = np.concatenate(views) if views else np.zeros((0, PASSAGE), np.int32)
-            met: set[tuple[int, int]] = set()
+            met: dict[tuple[int, int], list] = {}
             for lo in range(0, len(every), TILE):
                 part = every[lo : lo + TILE]
                 latent = _project(part, space)
@@ -338,13 +338,21 @@ def search(found: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, c
                             pair = best.setdefault((docs[owner[lo + r]], int(item)), [0, 0, 0.0, 0.0])
                             pair[0] = max(pair[0], n)
                     if paraphrases:
-                        met.update(map(tuple, np.unique(np.c_[owner[lo + rows], items.at[cols, 0]], axis=0).tolist()))
-            for o, item in met:
-                length = common_subsequence(texts[o], items.words[item])
+                        for o, item, at in np.unique(np.c_[owner[lo + rows], items.at[cols, 0], place[lo + rows]], axis=0).tolist():
+                            met.setdefault((o, item), []).append(at)
+            for (o, item), places in met.items():
+                # The passages near the item with what stands beside them.
+                near_item = np.zeros(len(texts[o]), bool)
+                inside = np.zeros(len(texts[o]), bool)
+                for at in places:
+                    inside[at : at + PASSAGE] = True
+                    near_item[max(0, at - LEAK) : at + PASSAGE + LEAK] = True
+                told = texts[o][near_item]
+                length = common_subsequence(told, items.words[item])
                 pair = best.setdefault((docs[o], item), [0, 0, 0.0, 0.0])
                 pair[1] = max(pair[1], length)
-                pair[2] = max(pair[2], length / min(len(texts[o]), len(items.words[item])))
-                pair[3] = max(pair[3], float(np.isin(telling[item], texts[o]).mean()))
+                pair[2] = max(pair[2], common_subsequence(texts[o][inside], items.words[item]) / min(int(inside.sum()), len(items.words[item])))
+                pair[3] = max(pair[3], float(np.isin(telling[item], told).mean()))
             yield pd.DataFrame([(d, str(items.ids[i]), *v) for (d, i), v in best.items()], columns=["doc", "item", "run", "lcs", "share", "answer"])
 
     pairs = found.select("doc", "words").mapInPandas(run, "doc string, item string, run int, lcs int, share double, answer double")
@@ -353,15 +361,16 @@ def search(found: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, c
 
 def label() -> Column:
     """``copied`` from LEAK common consecutive words on; ``paraphrased`` by a long common subsequence that has the item's telling words or most of the shorter text; else ``similar``."""
-    told = (F.col("lcs") >= PARAPHRASE_WORDS) & ((F.col("answer") >= PARAPHRASE_ANSWER) | (F.col("share") >= PARAPHRASE_SHARE))
+    told = (F.col("lcs") >= PARAPHRASE_WORDS) & (((F.col("answer") >= PARAPHRASE_ANSWER) & (F.col("share") >= PARAPHRASE_PART)) | (F.col("share") >= PARAPHRASE_SHARE))
     return F.when(F.col("run") >= LEAK, "copied").when(told, "paraphrased").otherwise("similar")
 
 
 def leaks(documents: DataFrame, items: DataFrame, cosine: float, paraphrases: bool, least: int = LEAK, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """Pairs of document and item: ``doc_key, item_key, run, lcs, share, answer``.
 
-    For paraphrases lcs, share and answer are of the part of the document that windows near enough to any item
-    cover, unknown words included; ``least`` is only for copied runs.
+    For paraphrases lcs and answer are of the passages near the item with LEAK words on either side, share is the
+    common subsequence's share of the passages alone (or of the item, if that is shorter), unknown words
+    included; ``least`` is only for copied runs.
     Equal passages share their buckets and have cosine 1, so no leak of LEAK words can be missed at any
     ``cosine`` below 1. Without items or documents there are no rows.
     """
