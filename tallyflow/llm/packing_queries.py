@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.bin_packing import container_loads, pack
+from tallyflow.llm.bin_packing import check_packing, container_loads, pack
 from tallyflow.sources.tables import read_table
 
 
@@ -36,10 +36,13 @@ def found_oversize(spark: SparkSession, sf: str) -> DataFrame:
     return packed(spark, sf).filter("status = 'oversize'").select("kind", "item_id")
 
 
-QUERIES = {"p3_found": found_oversize, "p3_containers": placements, "p3_loads": lambda s, d: container_loads(packed(s, d))}
+QUERIES = {"p3_found": found_oversize, "p3_containers": placements, "p3_loads": lambda s, d: container_loads(packed(s, d)), "p3_check": lambda s, d: check_packing(packed(s, d))}
 
 ORACLE = {
     "p3_found": """SELECT 'job' AS kind, job_id AS item_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC NULLS LAST) AS v FROM checkpoint_jobs WHERE job_id IS NOT NULL) j
   JOIN capacities c ON c.pool = j.pool WHERE v = 1 AND (private_memory_bytes > capacity_bytes OR workers > max_workers)
  UNION ALL SELECT DISTINCT 'task', task_id FROM moldable_tasks t JOIN capacities c ON c.pool = t.pool WHERE work > work_units""",
+    "p3_check": """WITH j AS (SELECT 'job' AS kind, j.pool, private_memory_bytes > capacity_bytes OR workers > max_workers AS over, c.pool IS NULL AS none FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC NULLS LAST) AS v FROM checkpoint_jobs WHERE job_id IS NOT NULL) j LEFT JOIN capacities c ON c.pool = j.pool WHERE v = 1),
+ t AS (SELECT 'task' AS kind, t.pool, work > work_units AS over, c.pool IS NULL AS none FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY created_at DESC NULLS LAST) AS v FROM moldable_tasks WHERE task_id IS NOT NULL) t LEFT JOIN capacities c ON c.pool = t.pool WHERE v = 1)
+ SELECT kind, pool, count(*) AS items, count(*) FILTER (NOT (none OR coalesce(over, false))) AS placed, count(*) FILTER (none OR coalesce(over, false)) AS unplaced, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS overfull FROM (SELECT * FROM j UNION ALL SELECT * FROM t) GROUP BY ALL""",
 }

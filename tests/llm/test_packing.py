@@ -1,8 +1,9 @@
 import random
 
+import pandas as pd
 import pytest
 
-from tallyflow.llm.bin_packing import best_fit, container_loads, pack, pack_block
+from tallyflow.llm.bin_packing import BUNDLES, _packer, best_fit, container_loads, least_containers, pack, pack_block
 
 SCHEMA = "kind string, item_id bigint, pool string, size double, second double, capacity double, second_capacity double, block string"
 
@@ -55,3 +56,26 @@ def test_empty(spark):
 @pytest.mark.parametrize("items", [[(1.0, 1.0)] * 3, [(0.5, 0.5)] * 4, [(0.0, 0.0)] * 10])
 def test_ties(items):
     assert len(pack_block(items)) == {3: 3, 4: 2, 10: 1}[len(items)]
+
+
+def test_tiny_items_are_handed_on_in_few_bundles(spark):
+    rows = [("job", i, "p", 0.001 * (1 + i % 3), None, 1.0, None, "x") for i in range(6000)]
+    out = pack(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len({r["item_id"] for r in out}) == len(out) == 6000
+    fill = {}
+    for r in out:
+        fill[r["container"]] = fill.get(r["container"], 0) + r["size"]
+    assert max(fill.values()) <= 1 + 1e-9 and len(fill) <= 16
+    block = pd.DataFrame({"kind": "job", "pool": "p", "block": 0, "piece": range(256), "size": 0.001, "second": None, "capacity": 1.0, "second_capacity": None})
+    handed = _packer(0, False)(block)
+    assert handed["bundle"].sum() == BUNDLES and not len(handed[~handed["bundle"] & handed["into"].isna()])
+
+
+def test_lower_bounds():
+    assert least_containers([]) == 0
+    assert least_containers([(0.6, 0.0)] * 5) == 5
+    assert least_containers([(0.0, 0.7)] * 3 + [(0.0, 0.4)] * 4) == 5
+    rng = random.Random(3)
+    for _ in range(30):
+        items = [(rng.random(), rng.random() / 2) for _ in range(12)]
+        assert least_containers(items) <= len(pack_block(items))
