@@ -2,8 +2,9 @@
 
 With Y a product of L unit exponentials and phi_r(t) = E[Y^r exp(-tY)], a profile m_1..m_s of N counts
 over d symbols has probability q_L = 1/Gamma(N) Int e^{Nu} phi_0(e^u)^(d-s) Prod phi_{m_i}(e^u) du; the
-mixture averages q_L over L = 1..L_max(d). ln phi_r is held on a uniform grid of u; one more layer is a
-convolution in the log domain, phi^(l)(u) = Int exp(-e^v + (r+1)v) phi^(l-1)(u+v) dv.
+mixture averages q_L over L = 1..L_max(d). All layers of a profile are taken together: the peaks of their
+integrands are found by Newton's rule, and each integral is a sum over equally spaced arguments around its
+peak, as far as they count. ln phi comes from a table of bounded size (``moments``).
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Grid step, right end of the grid, and the slowest decay of the left end needed per layer.
-STEP, RIGHT = 0.1, 35.0
-#: Moment columns that a worker remembers.
-MOST_COLUMNS = 1500
+from tallyflow.functions import moments
+from tallyflow.functions.moments import Direct, Table
+from tallyflow.sources.tables import cut
+
 EULER = 0.5772156649015329
 LN2 = math.log(2.0)
+#: Spacing of the arguments in widths of the peak and at most, and the arguments of a first pass to each side.
+SPACING, WIDEST, SIDE = 0.6, 0.5, 20
 
 
 def default_depths(d: int) -> int:
@@ -30,170 +33,159 @@ def default_depths(d: int) -> int:
     return max(1, round(2 / (1 - EULER) * math.log(d))) if d > 1 else 1
 
 
-def needed_orders(profile: list[int], more: int = 0) -> list[int]:
-    """Moment orders that a profile (and its next ``more`` occurrences) needs."""
-    return sorted({0} | {m + k for m in profile for k in range(more + 1)} | set(range(1, more + 1)))
-
-
-class Moments:
-    """ln phi_r for r as needed, layers 1..depth, on one grid; columns are made once and kept."""
-
-    def __init__(self, depth: int, most: int):
-        self.depth = depth
-        left = -(40.0 + depth * max(3.0, math.log(most + 1.0)))
-        self.u = np.arange(math.floor(left / STEP), round(RIGHT / STEP) + 1) * STEP
-        self.columns: dict[int, np.ndarray] = {}
-
-    def column(self, r: int) -> np.ndarray:
-        """depth x len(u)."""
-        if r not in self.columns:
-            if len(self.columns) >= MOST_COLUMNS:
-                self.columns.clear()
-            u, g = self.u, math.lgamma(r + 1)
-            out = np.empty((self.depth, len(u)))
-            out[0] = g - (r + 1) * np.logaddexp(0, u)
-            if self.depth > 1:
-                v = np.arange(math.ceil(-75.0 / STEP), math.floor((math.log(r + 1) + 6.0) / STEP) + 1)
-                before, after = -int(v[0]), int(v[-1])
-                for level in range(1, self.depth):
-                    last = out[level - 1]
-                    slope = last[-1] - last[-2]
-                    # Left of the grid phi is constant, right of it it goes on as a power of t.
-                    padded = np.concatenate([np.full(before, level * g), last, last[-1] + slope * np.arange(1, after + 1)])
-                    out[level] = self._next_layer(padded, v, r)
-            self.columns[r] = out
-        return self.columns[r]
-
-    def _next_layer(self, last: np.ndarray, v: np.ndarray, r: int) -> np.ndarray:
-        """ln of Int exp((r+1)v - e^v) phi(u+v) dv for each u; last[i + j] is ln phi at u_i + v_j.
-
-        The integrand has one peak (both factors are log-concave). Where the peak is wide the grid's
-        trapezoid is exact to rounding; where it is narrow, as for large r, the integral is taken around
-        the peak on a grid of its own, phi interpolated.
+@lru_cache(maxsize=8)
+def _direct(depth: int) -> Direct:
+    """Moments for single profiles; those of queries come from ``moments.build_distributed``."""
+    return Direct(depth)
+
+
+class Scorer:
+    """Scores profiles over ``d`` symbols, given as count classes (counts, how many symbols have each)."""
+
+    def __init__(self, d: int, depths: int, table: Table | Direct):
+        if table.depth < depths:
+            raise ValueError("the table has too few layers")
+        self.d, self.depths, self.table = d, depths, table
+        self.layers = np.arange(2, depths + 1)
+
+    def _classes(self, counts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts, symbols = np.asarray(counts, np.int64), np.asarray(symbols, np.int64)
+        counts, symbols = counts[counts > 0], symbols[counts > 0]
+        seen = int(symbols.sum())
+        if seen > self.d:
+            raise ValueError("more symbols than the alphabet has")
+        return (np.r_[0, counts], np.r_[self.d - seen, symbols]) if seen < self.d else (counts, symbols)
+
+    def _ln_phi(self, u: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """layers x arguments x counts: ln phi at u (layers x arguments), layers 2.. ."""
+        layers = self.layers[:, None, None]
+        p = counts + 1.0
+        z = moments.place(u[:, :, None] + (layers - 1) * np.log(p), layers)
+        x = 1 / (1 + np.exp(-z))
+        lead = p * (-layers * np.logaddexp(0.0, z) + (layers - 1) * x)
+        lead += layers * np.array([math.lgamma(v) for v in p])
+        at = np.clip((z - moments.Z_LOW) / moments.Z_STEP, moments.NODES // 2, moments.Z_COUNT - moments.NODES // 2 - 1)
+        low = np.floor(at).astype(np.int64)
+        weights = moments._lagrange(at - low)
+        rows = np.arange(len(self.layers))[:, None, None]
+        held = np.stack([self.table.beyond(int(c))[1 : self.depths] for c in counts], 1)
+        which = np.arange(len(counts))
+        for k in range(moments.NODES):
+            lead += weights[..., k] * held[rows, which, low + (k - moments.NODES // 2 + 1)]
+        return lead
+
+    def _peaks(self, n: int, counts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(u, width) of each layer's integrand, where the expected occurrences sum to n, leading parts alone."""
+        layers = self.layers[:, None]
+        p = counts + 1.0
+        mass = symbols * p
+        ln_p = np.log(p)
+        # ln of the sum rises ever more slowly in u, so Newton's rule from the left doesn't overshoot.
+        u = math.log(n) - np.log(mass @ np.exp((self.layers - 1) * (ln_p - ln_p.max())[:, None])) - (self.layers - 1) * ln_p.max()
+        z = None
+        for _ in range(60):
+            w = u[:, None] + (layers - 1) * ln_p
+            z = moments.place(w, layers, z, 8) if z is not None else moments.place(w, layers)
+            x = 1 / (1 + np.exp(-z))
+            total = (mass * x).sum(1)
+            slope = (mass * x * (1 - x) / (1 - x + layers * x)).sum(1)
+            move = np.minimum((math.log(n) - np.log(total)) * total / slope, 25.0)
+            u = u + move
+            if np.abs(move).max() < 1e-3:
+                break
+        return u, 1 / np.sqrt(slope)
+
+    def _integrands(self, n: int, counts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(u, ln of the integrand, spacing), layers x arguments; both ends are too small to count."""
+        u, width = self._peaks(n, counts, symbols)
+        step = np.minimum(SPACING * width, WIDEST)
+        offsets = np.arange(-SIDE, SIDE + 1)
+        at = u[:, None] + step[:, None] * offsets
+        value = n * at + self._ln_phi(at, counts) @ symbols
+        for _ in range(60):
+            top = value.max(1)
+            left, right = (value[:, 0] > top - 36).any(), (value[:, -1] > top - 36).any()
+            if not left and not right:
+                break
+            for ends, first in ((left, True), (right, False)):
+                if ends:
+                    more = (at[:, :1] if first else at[:, -1:]) + step[:, None] * (np.arange(-SIDE, 0) if first else np.arange(1, SIDE + 1))
+                    new = n * more + self._ln_phi(more, counts) @ symbols
+                    at, value = (np.c_[more, at], np.c_[new, value]) if first else (np.c_[at, more], np.c_[value, new])
+        return at, value, step
+
+    def _add_one(self, n: int, counts: np.ndarray, symbols: np.ndarray) -> float:
+        return math.lgamma(self.d) - math.lgamma(self.d + n) + float(sum(k * math.lgamma(c + 1) for c, k in zip(counts.tolist(), symbols.tolist())))
+
+    def levels(self, counts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """log2 q_L for L = 1..depths. No counts: 0; one count: -log2 d at every depth."""
+        counts, symbols = self._classes(counts, symbols)
+        n = int((counts * symbols).sum())
+        if n == 0:
+            return np.zeros(self.depths)
+        if n == 1:
+            return np.full(self.depths, -math.log2(self.d))
+        out = np.empty(self.depths)
+        # The first depth is the add-one rule.
+        out[0] = self._add_one(n, counts, symbols)
+        if self.depths > 1:
+            _, value, step = self._integrands(n, counts, symbols)
+            top = value.max(1)
+            out[1:] = top + np.log(step * np.exp(value - top[:, None]).sum(1)) - math.lgamma(n)
+        return out / LN2
+
+    def average(self, counts: np.ndarray, symbols: np.ndarray) -> float:
+        """log2 of the average over depths."""
+        return _average(self.levels(counts, symbols))
+
+    def next_symbol(self, counts: np.ndarray, symbols: np.ndarray) -> dict[int, float]:
+        """Probability of the next symbol per current count c (0: each unseen one): q(c -> c+1) / q.
+
+        All classes share the arguments and the integrand of the profile itself: one more occurrence of a
+        symbol with count c multiplies the integrand by e^u phi_{c+1} / phi_c.
         """
-        n = len(last) - len(v) + 1
-        kernel = (r + 1) * v * STEP - np.exp(v * STEP)
-        view = np.lib.stride_tricks.sliding_window_view(last, len(v))
-        out, peak = np.empty(n), np.empty(n, np.int64)
-        for a in range(0, n, 256):
-            peak[a : a + 256] = (view[a : a + 256] + kernel).argmax(1)
-        row = np.arange(n)
-        at = peak + v[0]  # the peak in grid units of v
-
-        def phi(position: np.ndarray) -> np.ndarray:
-            return _interpolate(last, position)
-
-        x = at.astype(float)
-        h = 0.2
-        for _ in range(6):
-            base = row + x - v[0]
-            f0, f1, f2 = phi(base - h), phi(base), phi(base + h)
-            e = np.exp(x * STEP)
-            curve = (f0 - 2 * f1 + f2) / h**2 - e * STEP**2
-            slope = (f2 - f0) / (2 * h) + (r + 1) * STEP - e * STEP
-            x = np.clip(x + np.clip(-slope / np.minimum(curve, -1e-12), -1, 1), at - 2, at + 2)
-        width = 1 / np.sqrt(np.maximum(-curve, 1e-12))
-        wide = np.flatnonzero(width >= 3)
-        for a in range(0, len(wide), 256):
-            y = view[wide[a : a + 256]] + kernel
-            top = y.max(1)
-            out[wide[a : a + 256]] = top + np.log(STEP * np.exp(y - top[:, None]).sum(1))
-        narrow = np.flatnonzero(width < 3)
-        z = np.arange(-24, 25) * 0.5
-        for a in range(0, len(narrow), 2048):
-            i = narrow[a : a + 2048]
-            p = x[i, None] + width[i, None] * z
-            y = (r + 1) * p * STEP - np.exp(p * STEP) + phi(np.clip(i[:, None] + p - v[0], NODES, len(last) - NODES - 1))
-            top = y.max(1)
-            out[i] = top + np.log(0.5 * STEP * width[i] * np.exp(y - top[:, None]).sum(1))
-        return out
-
-
-#: Where fewer grid points than this carry the integral, it is taken on a grid REFINE times finer.
-NARROW, REFINE, NODES = 80, 16, 8
-
-
-@lru_cache(maxsize=1)
-def _weights() -> np.ndarray:
-    """Lagrange weights of NODES neighbours for the REFINE points of a grid cell."""
-    at = np.arange(NODES) - (NODES // 2 - 1)
-    x = np.arange(REFINE) / REFINE
-    out = np.ones((REFINE, NODES))
-    for i in range(NODES):
-        for j in range(NODES):
-            if i != j:
-                out[:, i] *= (x - at[j]) / (at[i] - at[j])
-    return out
-
-
-def _interpolate(values: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Values of a grid function between its points, by NODES neighbours."""
-    left = np.clip(np.floor(position).astype(np.int64), NODES // 2 - 1, len(values) - NODES // 2 - 1)
-    first = left - (NODES // 2 - 1)
-    away = [position - first - i for i in range(NODES)]
-    # Products of the distances before and after each node give all weights in a few passes.
-    before, after = [np.ones_like(position)], [np.ones_like(position)]
-    for i in range(NODES - 1):
-        before.append(before[-1] * away[i])
-        after.append(after[-1] * away[NODES - 1 - i])
-    out = np.zeros_like(position)
-    for i in range(NODES):
-        scale = math.factorial(i) * math.factorial(NODES - 1 - i) * (-1) ** (NODES - 1 - i)
-        out += before[i] * after[NODES - 1 - i] * values[first + i] / scale
-    return out
-
-
-def _log_integral(psi: np.ndarray) -> float:
-    """ln of the integral of exp(psi) over the grid: trapezoid, on an interpolated grid where the peak is narrow."""
-    top = psi.max()
-    inside = np.flatnonzero(psi > top - 50)
-    a, b = inside[0] - 1, inside[-1] + 1
-    half = NODES // 2
-    if b - a < NARROW and a >= half and b + half < len(psi):
-        cells = np.lib.stride_tricks.sliding_window_view(psi[a - half + 1 : b + half], NODES)
-        fine = (cells @ _weights().T).reshape(-1)
-        top = max(top, fine.max())
-        return top + math.log(STEP / REFINE * np.exp(fine - top).sum())
-    e = np.exp(psi - top)
-    return top + math.log(STEP * (e.sum() - 0.5 * e[0]))
-
-
-@lru_cache(maxsize=4)
-def _moments(depth: int, most: int) -> Moments:
-    return Moments(depth, most)
+        counts, symbols = self._classes(counts, symbols)
+        n = int((counts * symbols).sum())
+        if n == 0:
+            return {0: 1 / self.d}
+        base = self._add_one(n, counts, symbols)
+        first = base + np.log(counts + 1.0) - math.log(self.d + n)
+        grown, whole = first[:, None], np.array([base])
+        if self.depths > 1:
+            at, value, step = self._integrands(n, counts, symbols)
+            gain = at[:, :, None] + self._ln_phi(at, counts + 1) - self._ln_phi(at, counts)
+            top = value.max(1)
+            shares = np.exp(value - top[:, None])
+            # Where n is 1 the profile itself has probability 1/d at every depth; the same sum gives it.
+            whole = np.r_[whole, top + np.log(step * shares.sum(1)) - math.lgamma(n)]
+            most = gain.max(1)
+            more = most + np.log((shares[:, :, None] * np.exp(gain - most[:, None, :])).sum(1)) + (top + np.log(step) - math.lgamma(n + 1))[:, None]
+            grown = np.c_[grown, more.T]
+        ratio = np.logaddexp.reduce(grown, 1) - np.logaddexp.reduce(whole)
+        return dict(zip(counts.tolist(), np.exp(ratio).tolist()))
+
+
+def _average(levels: np.ndarray) -> float:
+    top = levels.max()
+    return float(top + math.log2(np.exp2(levels - top).sum()) - math.log2(len(levels)))
+
+
+def _scorer(profile: list[int], d: int, depths: int | None) -> tuple[Scorer, np.ndarray, np.ndarray]:
+    counts, symbols = np.unique([int(m) for m in profile if m > 0], return_counts=True)
+    depths = depths or default_depths(d)
+    return Scorer(d, depths, _direct(depths)), counts.astype(np.int64), symbols
 
 
 def log2_q_levels(profile: list[int], d: int, depths: int) -> np.ndarray:
-    """log2 q_L for L = 1..depths. No counts: 0; one count: -log2 d at every depth."""
-    counts = [int(m) for m in profile if m > 0]
-    n = sum(counts)
-    if len(counts) > d:
-        raise ValueError("more symbols than the alphabet has")
-    if n == 0:
-        return np.zeros(depths)
-    if n == 1:
-        return np.full(depths, -math.log2(d))
-    most = 1 << (max(counts)).bit_length()
-    m = _moments(depths, most)
-    psi = n * m.u[None, :] + (d - len(counts)) * m.column(0)
-    sizes: dict[int, int] = {}
-    for c in counts:
-        sizes[c] = sizes.get(c, 0) + 1
-    for c, k in sizes.items():
-        psi = psi + k * m.column(c)
-    # Left of the grid the integrand falls as e^{nu}.
-    out = np.array([np.logaddexp(_log_integral(row), row[0] - math.log(n)) for row in psi])
-    out = (out - math.lgamma(n)) / LN2
-    # The first depth is the add-one rule; its integrand gets too narrow for the grid as n grows.
-    out[0] = (math.lgamma(d) - math.lgamma(d + n) + sum(k * math.lgamma(c + 1) for c, k in sizes.items())) / LN2
-    return out
+    """log2 q_L of one profile for L = 1..depths."""
+    scorer, counts, symbols = _scorer(profile, d, depths)
+    return scorer.levels(counts, symbols)
 
 
 def log2_q(profile: list[int], d: int, depths: int | None = None) -> float:
     """log2 of the average over depths 1..``depths`` (default: ``default_depths(d)``)."""
-    levels = log2_q_levels(profile, d, depths or default_depths(d))
-    top = levels.max()
-    return float(top + math.log2(np.exp2(levels - top).sum()) - math.log2(len(levels)))
+    scorer, counts, symbols = _scorer(profile, d, depths)
+    return scorer.average(counts, symbols)
 
 
 def depth_posterior(profile: list[int], d: int, depths: int | None = None) -> np.ndarray:
@@ -204,38 +196,60 @@ def depth_posterior(profile: list[int], d: int, depths: int | None = None) -> np
 
 
 def predictive(profile: list[int], d: int, depths: int | None = None) -> dict[int, float]:
-    """Probability of the next symbol per current count c (0: each unseen one): q(c -> c+1) / q."""
-    counts = sorted((m for m in profile if m > 0), reverse=True)
-    base = log2_q(counts, d, depths)
-    out = {}
-    for c in sorted(set(counts) | ({0} if len(counts) < d else set())):
-        grown = counts + [1] if c == 0 else [*counts]
-        if c:
-            grown[grown.index(c)] += 1
-        out[c] = 2.0 ** (log2_q(grown, d, depths) - base)
-    return out
+    """Probability of the next symbol per current count c (0: each unseen one)."""
+    scorer, counts, symbols = _scorer(profile, d, depths)
+    return scorer.next_symbol(counts, symbols)
 
 
-def score_profiles(profiles: DataFrame, alphabet: int, depths: int | None = None, profile: str = "profile") -> DataFrame:
-    """Adds ``bits`` = -log2 q to a table of distinct profiles (``profiles.profile_multiset``).
+#: A state's profile by count classes, largest count first: at most the root of twice its occurrences.
+CLASSES = "array<struct<c:bigint,symbols:bigint>>"
 
-    Each row is scored by itself in Arrow batches; heavy profiles are spread by their hash first, since
-    states of many visits lie together after counting.
-    """
+
+def _table_of(profiles: DataFrame, alphabet: int, depths: int | None, profile: str) -> tuple[DataFrame, int, Table]:
+    """(the profiles as a written table, depths, moments up to their largest count)."""
+    depths = depths or default_depths(alphabet)
+    written = cut(profiles, "profiles")
+    most = written.agg(F.max(F.col(profile)[0]["c"]).alias("m")).first()["m"] or 1
+    return written, depths, moments.build_distributed(profiles.sparkSession, depths, int(most) + 1)
+
+
+def _per_profile(profiles: DataFrame, alphabet: int, depths: int | None, profile: str, extra: str, each) -> DataFrame:
+    written, depths, table = _table_of(profiles, alphabet, depths, profile)
+    session = profiles.sparkSession
+    sent = session.sparkContext.broadcast((table.columns, table.most))
     kind = [f"{f.name} {f.dataType.simpleString()}" for f in profiles.schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(alphabet, depths, Table(*sent.value))
         for b in batches:
-            yield b.assign(bits=[-log2_q(list(p), alphabet, depths) for p in b[profile]])
+            yield each(b, scorer, [(np.array([x["c"] for x in p], np.int64), np.array([x["symbols"] for x in p], np.int64)) for p in b[profile]])
 
     # A given number of partitions isn't merged afterwards: scoring is costly although its rows are few.
-    session = profiles.sparkSession
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    return profiles.repartition(parts, F.xxhash64(profile)).mapInPandas(run, ", ".join(kind) + ", bits double")
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    return written.repartition(parts, F.xxhash64(profile)).mapInPandas(run, ", ".join(kind) + f", {extra}")
+
+
+def score_profiles(profiles: DataFrame, alphabet: int, depths: int | None = None, profile: str = "profile") -> DataFrame:
+    """Adds ``bits`` = -log2 q to a table of distinct profiles by count classes (``profiles.state_classes``).
+
+    Each row is scored by itself; heavy profiles are spread by their hash first, since states of many visits
+    lie together after counting. The table of moments is computed by the cluster, bounded (some 150 columns of
+    depth x 421 numbers for counts up to 10^9) and broadcast.
+    """
+    return _per_profile(profiles, alphabet, depths, profile, "bits double", lambda b, scorer, classes: b.assign(bits=[-scorer.average(*p) for p in classes]))
+
+
+def next_symbols(profiles: DataFrame, alphabet: int, depths: int | None = None, profile: str = "profile") -> DataFrame:
+    """Adds ``next`` = array of (c, p): the probability of the next symbol by its count so far, 0 for each unseen one."""
+
+    def each(b: pd.DataFrame, scorer: Scorer, classes: list) -> pd.DataFrame:
+        return b.assign(next=[[{"c": c, "p": p} for c, p in sorted(scorer.next_symbol(*x).items())] for x in classes])
+
+    return _per_profile(profiles, alphabet, depths, profile, "next array<struct<c:bigint,p:double>>", each)
 
 
 def state_bits(with_profiles: DataFrame, groups: list[str], alphabet: int, depths: int | None = None) -> DataFrame:
-    """``groups.., states, bits`` of states by the layered mixture: distinct profiles are scored once and joined back."""
-    multiset = with_profiles.groupBy(*groups, "profile").agg(F.count("*").alias("states"))
+    """``groups.., states, n_coded, bits`` of states by the layered mixture: distinct profiles are scored once and joined back."""
+    multiset = cut(with_profiles.groupBy(*groups, "profile").agg(F.count("*").alias("states"), F.sum("total").alias("total")), "multiset")
     scored = score_profiles(multiset.select("profile").distinct(), alphabet, depths)
-    return multiset.join(scored, "profile").groupBy(*groups).agg(F.sum("states").alias("states"), F.sum(F.col("states") * F.col("bits")).alias("bits"))
+    return multiset.join(scored, "profile").groupBy(*groups).agg(F.sum("states").alias("states"), F.sum("total").alias("n_coded"), F.sum(F.col("states") * F.col("bits")).alias("bits"))

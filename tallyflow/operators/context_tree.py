@@ -12,7 +12,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.functions import layered
+from tallyflow.operators import profiles
 from tallyflow.operators.families import LEAVES
+from tallyflow.sources.tables import cut
 
 
 def node_bits(nodes: DataFrame, depth: int, alphabet: int, leaf: str = "kt") -> DataFrame:
@@ -21,6 +24,14 @@ def node_bits(nodes: DataFrame, depth: int, alphabet: int, leaf: str = "kt") ->
     return nodes.groupBy("d", *names).agg(F.sum("n").alias("n"), (-LEAVES[leaf]("n", alphabet)).alias("q"))
 
 
+def layered_node_bits(nodes: DataFrame, depth: int, alphabet: int, depths: int | None = None) -> DataFrame:
+    """The same with the layered mixture as leaf law; nodes of equal profiles are scored once."""
+    names = [f"x{i}" for i in range(1, depth + 1)]
+    states = cut(profiles.state_classes(nodes, ["d", *names]), "nodes")
+    scored = layered.score_profiles(states.select("profile").distinct(), alphabet, depths)
+    return cut(states.join(scored, "profile").select("d", *names, F.col("total").alias("n"), (-F.col("bits")).alias("q")), "scored")
+
+
 def _half_sum(a, b):
     """log2(2**a / 2 + 2**b / 2)."""
     hi, lo = F.greatest(a, b), F.least(a, b)

@@ -17,10 +17,11 @@ def shifted(stream: DataFrame, lags: list[int], start: int, *keep: str) -> DataF
     """One row per position ``pos >= start``: ``keep.., pos, y`` and ``x1, x2, ..`` the symbols at ``lags`` back.
 
     Sequences are separate (history never crosses from one into the next); those of ``start`` or fewer
-    symbols give no row. ``start`` must be at least the largest lag.
+    symbols give no row. Where a lag is larger than ``start``, history that is missing is null.
     """
     length = F.size("syms") - start
-    piece = lambda d: F.slice("syms", F.lit(start + 1 - d), length)
+    before = lambda d: F.concat(F.array_repeat(F.lit(None).cast("string"), d - start), F.slice("syms", F.lit(1), F.greatest(F.lit(0), length - (d - start))))
+    piece = lambda d: F.slice("syms", F.lit(start + 1 - d), length) if d <= start else F.slice(before(d), F.lit(1), length)
     zipped = F.arrays_zip(F.sequence(F.lit(start), F.size("syms") - 1).alias("pos"), piece(0).alias("y"), *[piece(d).alias(f"x{i}") for i, d in enumerate(lags, 1)])
     # Short sequences give one row of nulls, dropped below; a filter on the array would split every text twice.
     rows = stream.select(*keep, F.inline_outer(F.when(length > 0, zipped)))

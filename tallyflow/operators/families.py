@@ -11,7 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.functions import layered
 from tallyflow.functions.special import add_one_state_bits, kt_state_bits
+from tallyflow.operators import profiles
 
 LEAVES = {"kt": kt_state_bits, "add_one": add_one_state_bits}
 
@@ -32,13 +34,22 @@ def member_bits(members: DataFrame, names: list[str], states: list[str], alphabe
     return per_state.groupBy(*names).agg(F.count("*").alias("states"), F.sum("n").alias("n_coded"), F.sum("bits").alias("bits"))
 
 
+def layered_bits(members: DataFrame, names: list[str], states: list[str], alphabet: int, depths: int | None = None) -> DataFrame:
+    """The same as ``member_bits`` with the layered mixture at the leaves: each distinct profile of all members is scored once."""
+    return layered.state_bits(profiles.state_classes(members, [*names, *states]), names, alphabet, depths)
+
+
 def state_members(pairs: DataFrame, grid: list[int], x: str = "x1") -> DataFrame:
     """Members {M}: the M leading symbols are states of their own, the others share state M; M = 0 is memoryless."""
     return member_counts(pairs, [(m,) for m in grid], ["m"], {"state": F.least(F.col(x), F.col("g.m"))})
 
 
 def product_members(triples: DataFrame, grid: list[tuple[int, int]]) -> DataFrame:
-    """Members (M1, M2): two lags at two resolutions; (M, 0) is first order over the same positions."""
+    """Members (M1, M2): two lags at two resolutions; (M, 0) is first order over the same positions.
+
+    Positions without a second lag belong in the triples with the unknown symbol there (``backoff``), so that
+    (M, 0) is first order over all positions that have a predecessor.
+    """
     if any(b > a for a, b in grid):
         raise ValueError("M2 may not exceed M1")
     return member_counts(triples, grid, ["m1", "m2"], {"s1": F.least(F.col("x1"), F.col("g.m1")), "s2": F.least(F.col("x2"), F.col("g.m2"))})

@@ -47,7 +47,7 @@ def _nested(s: SparkSession, d: str) -> DataFrame:
 
 
 def _lag_profiles(s: SparkSession, d: str) -> DataFrame:
-    p = profiles.state_profiles(counting.lag_counts(tokens(s, d), [1, 2, 3]), ["lag", "x"])
+    p = profiles.state_classes(counting.lag_counts(tokens(s, d), [1, 2, 3]), ["lag", "x"])
     return profiles.profile_multiset(p, ["lag"]).groupBy("lag").agg(F.sum("states").alias("states"), F.count("*").alias("profiles"))
 
 
@@ -72,7 +72,7 @@ QUERIES = {
     "audit_counts": _audit,
     "unequal_delta": _unequal,
     "state_profiles": lambda s, d: profiles.state_profiles(capped_pairs(s, d), ["x1"]).select("x1", profiles.spelled(F.col("profile")).alias("profile"), "total"),
-    "profile_multiset": lambda s, d: profiles.profile_multiset(profiles.state_profiles(counting.context_counts(tokens(s, d), [1]), ["x1"])).select(F.md5(profiles.spelled(F.col("profile"))).alias("profile"), "states"),
+    "profile_multiset": lambda s, d: profiles.profile_multiset(profiles.state_classes(counting.context_counts(tokens(s, d), [1]), ["x1"])).select(F.md5(profiles.spelled_classes(F.col("profile"))).alias("profile"), "states"),
     "nested_profiles": _nested,
     "product_profiles": lambda s, d: profiles.profile_multiset(profiles.state_profiles(capped_triples(s, d), ["x1", "x2"])).select(profiles.spelled(F.col("profile")).alias("profile"), "states"),
     "lag_profiles": _lag_profiles,
@@ -104,7 +104,7 @@ ORACLE = {
     "audit_counts": f"WITH {_BLOCKS}, u AS (SELECT y, x1, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY ALL), d AS (SELECT sym AS y, x1, count(*) AS n FROM l WHERE pos >= 2 GROUP BY ALL) SELECT coalesce(u.y, d.y) AS y, coalesce(u.x1, d.x1) AS x1, coalesce(u.n, 0) AS n_left, coalesce(d.n, 0) AS n_right FROM u FULL JOIN d ON u.y = d.y AND u.x1 = d.x1 WHERE coalesce(u.n, 0) <> coalesce(d.n, 0)",
     "unequal_delta": f"WITH {RANKED} SELECT y, least(x1, 16) AS x1, least(x2, 4) AS x2, CAST(sum(n) AS BIGINT) AS n FROM tr GROUP BY ALL",
     "state_profiles": f"WITH {RANKED} SELECT x1, string_agg(n::VARCHAR, ',' ORDER BY n DESC) AS profile, CAST(sum(n) AS BIGINT) AS total FROM pr GROUP BY x1",
-    "profile_multiset": f"WITH {_LAGGED}, p AS (SELECT x1, sym, count(*) AS n FROM l WHERE pos >= 1 GROUP BY ALL), q AS (SELECT x1, string_agg(n::VARCHAR, ',' ORDER BY n DESC) AS profile FROM p GROUP BY x1) SELECT md5(profile) AS profile, count(*) AS states FROM q GROUP BY profile",
+    "profile_multiset": f"WITH {_LAGGED}, p AS (SELECT x1, sym, count(*) AS n FROM l WHERE pos >= 1 GROUP BY ALL), q AS (SELECT x1, string_agg(n::VARCHAR || ':' || k::VARCHAR, ',' ORDER BY n DESC) AS profile FROM (SELECT x1, n, count(*) AS k FROM p GROUP BY ALL) GROUP BY x1) SELECT md5(profile) AS profile, count(*) AS states FROM q GROUP BY profile",
     "nested_profiles": f"""WITH {RANKED}, g AS (SELECT m, least(x1, m) AS state, y, sum(n) AS n FROM pr, (SELECT CAST(unnest([0, 4, 16, 64]) AS INTEGER) AS m) GROUP BY ALL),
  q AS (SELECT m, state, string_agg(n::VARCHAR, ',' ORDER BY n DESC) AS profile FROM g GROUP BY ALL) SELECT m, profile, count(*) AS states FROM q GROUP BY ALL""",
     "product_profiles": f"WITH {RANKED}, q AS (SELECT x1, x2, string_agg(n::VARCHAR, ',' ORDER BY n DESC) AS profile FROM tr GROUP BY ALL) SELECT profile, count(*) AS states FROM q GROUP BY ALL",

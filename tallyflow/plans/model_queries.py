@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyflow.functions.special import add_one_state_bits, kt_state_bits
 from tallyflow.operators import context_tree, counting, entropy, families
 from tallyflow.operators.entropy import subset_bits
-from tallyflow.plans.shared import GRID, K, RANKED, TOK, V, add_one, capped_pairs, capped_triples, kt, tokens, vocab
+from tallyflow.plans.shared import GRID, K, RANKED, TOK, V, add_one, capped_pairs, capped_triples, capped_triples_backoff, kt, tokens, vocab
 from tallyflow.sources.tables import cut, read_table
 
 PRODUCT_GRID = [(0, 0), (16, 0), (16, 4), (64, 4), (64, 16)]
@@ -82,7 +82,7 @@ def _state_family(s: SparkSession, d: str, leaf: str) -> DataFrame:
 
 
 def _product_family(s: SparkSession, d: str) -> DataFrame:
-    members = families.member_bits(families.product_members(capped_triples(s, d), PRODUCT_GRID), ["m1", "m2"], ["s1", "s2"], V)
+    members = families.member_bits(families.product_members(capped_triples_backoff(s, d), PRODUCT_GRID), ["m1", "m2"], ["s1", "s2"], V)
     return _rounded(families.mixture(members, ["m1", "m2"]), "bits", "posterior", "family_bits")
 
 
@@ -191,7 +191,7 @@ def _family(cells: str, names: str, states: str, leaf: str) -> str:
 
 
 _CELLS_M = "SELECT m, least(x1, m) AS state, y, sum(n) AS n FROM pr, (SELECT CAST(unnest([0, 4, 16, 64]) AS INTEGER) AS m) GROUP BY ALL"
-_CELLS_P = "SELECT m1, m2, least(x1, m1) AS s1, least(x2, m2) AS s2, y, sum(n) AS n FROM tr, (VALUES (0, 0), (16, 0), (16, 4), (64, 4), (64, 16)) g(m1, m2) GROUP BY ALL"
+_CELLS_P = "SELECT m1, m2, least(x1, m1) AS s1, least(x2, m2) AS s2, y, sum(n) AS n FROM tb, (VALUES (0, 0), (16, 0), (16, 4), (64, 4), (64, 16)) g(m1, m2) GROUP BY ALL"
 _CELLS_L = """SELECT lag, x, y, count(*) AS n FROM (SELECT y, lag(y) OVER w AS a, lag(y, 2) OVER w AS b, lag(y, 4) OVER w AS d, pos FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) q,
  LATERAL (SELECT unnest([0, 1, 2, 4]) AS lag, unnest([64, a, b, d]) AS x) z WHERE pos >= 4 GROUP BY ALL"""
 _NODES = f"nq AS (SELECT 2 - grouping(x1) - grouping(x2) AS d, x1, x2, y, sum(n) AS n FROM tr GROUP BY y, ROLLUP (x1, x2)), no AS (SELECT d, x1, x2, CAST(sum(n) AS BIGINT) AS n, -{kt()} AS q FROM nq GROUP BY d, x1, x2)"

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.functions import layered
 from tallyflow.functions.special import kt_state_bits, log2
-from tallyflow.operators import context_tree, counting, entropy, families, ordered, pair_models, pooled, profiles, sampling, tokenizer, vocabulary
+from tallyflow.operators import counting, entropy, ordered, pair_models, pooled, sampling, tokenizer, vocabulary
 from tallyflow.plans.model_queries import _rounded
 from tallyflow.plans.shared import K, RANKED, TOK, V, capped_pairs, kt, tokens, vocab
 from tallyflow.sources.streams import positions
@@ -194,38 +193,6 @@ def _lag_information(s: SparkSession, d: str) -> DataFrame:
     return base.join(cond, "lag").select("lag", (F.col("h") - F.col("c")).alias("bits"))
 
 
-def _layered_states(s: SparkSession, d: str) -> DataFrame:
-    """Layered mixture bits of a first-order code over the small alphabet, beside KT and add-one."""
-    pairs = cut(vocabulary.capped(counting.context_counts(tokens(s, d), [1]), _small_vocab(s, d), ["y", "x1"], SMALL), "pairs")
-    states = profiles.state_profiles(pairs, ["x1"])
-    bits = layered.state_bits(states, [], SMALL_V)
-    kts = pairs.groupBy("x1").agg(kt_state_bits("n", SMALL_V).alias("b")).agg(F.sum("b").alias("b"))
-    return bits.withColumn("kt_bits", kts.scalar()).select("states", F.round("bits", 3).alias("bits"), F.round("kt_bits", 3).alias("kt_bits"))
-
-
-def _layered_predictive(s: SparkSession, d: str) -> DataFrame:
-    """``x1, c, p``: probability of the next symbol by its count so far, for the states' count classes."""
-    pairs = cut(vocabulary.capped(counting.context_counts(tokens(s, d), [1]), _small_vocab(s, d), ["y", "x1"], SMALL), "pairs")
-    import pandas as pd
-
-    def run(batches):
-        for b in batches:
-            rows = [(x, c, p) for x, prof in zip(b["x1"], b["profile"]) for c, p in layered.predictive(list(prof), SMALL_V).items()]
-            yield pd.DataFrame(rows, columns=["x1", "c", "p"])
-
-    return profiles.state_profiles(pairs, ["x1"]).mapInPandas(run, "x1 int, c bigint, p double")
-
-
-def _context_tree_layered(s: SparkSession, d: str) -> DataFrame:
-    """Context tree of depth 1 over the small alphabet with the layered leaf, averaged over all its depths."""
-    pairs = cut(vocabulary.capped(counting.context_counts(tokens(s, d), [1]), _small_vocab(s, d), ["y", "x1"], SMALL), "pairs")
-    nodes = counting.context_nodes(pairs, 1)
-    states = profiles.state_profiles(nodes, ["d", "x1"])
-    scored = layered.score_profiles(states.select("profile").distinct(), SMALL_V)
-    q = states.join(scored, "profile").select("d", "x1", F.col("total").alias("n"), (-F.col("bits")).alias("q"))
-    return _rounded(context_tree.tree_summary(context_tree.weigh(q, 1)), "tree_bits", "map_bits", digits=3)
-
-
 QUERIES = {
     "pooled_counts_mix": _pooled_mix,
     "pooled_counts_product": _pooled_product,
@@ -255,9 +222,6 @@ QUERIES = {
     "streaming_counts": lambda s, d: streamed.incremental_counts(s, f"{d}/events.parquet", ["event_type"]),
     "streaming_windows": lambda s, d: streamed.windowed_counts(s, f"{d}/events.parquet", "ts", "event_type"),
     "streaming_causal": lambda s, d: streamed.causal_scores(s, f"{d}/documents.parquet", "kind"),
-    "layered_first_order": _layered_states,
-    "layered_predictive": _layered_predictive,
-    "layered_tree": _context_tree_layered,
 }
 
 _SMALL = RANKED.replace(f"<= {K})", f"<= {SMALL})").replace(f"coalesce(rank, {K})", f"coalesce(rank, {SMALL})")

@@ -33,6 +33,11 @@ def capped_triples(spark: SparkSession, sf: str) -> DataFrame:
     return vocabulary.capped(counting.context_counts(tokens(spark, sf), [1, 2]), vocab(spark, sf), ["y", "x1", "x2"], K)
 
 
+def capped_triples_backoff(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over all positions that have a predecessor; where there is no second one, x2 is the unknown symbol."""
+    return vocabulary.capped(counting.context_counts(tokens(spark, sf), [1, 2], 1), vocab(spark, sf), ["y", "x1", "x2"], K)
+
+
 #: Common table expressions: tok (every position), voc (ranked top symbols), r (ranks per position), pr and tr (capped pairs and triples).
 TOK = """tok AS (SELECT doc_id, unnest(t) AS sym, generate_subscripts(t, 1) - 1 AS pos FROM
  (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]') AS t FROM documents WHERE text IS NOT NULL))"""
@@ -41,7 +46,8 @@ VOC = f"""{TOK}, voc AS (SELECT sym, n, row_number() OVER (ORDER BY n DESC, f) -
 RANKED = f"""{VOC}, r AS (SELECT doc_id, pos, CAST(coalesce(rank, {K}) AS INTEGER) AS y FROM tok LEFT JOIN voc USING (sym)),
  l AS (SELECT *, lag(y) OVER w AS x1, lag(y, 2) OVER w AS x2 FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
  pr AS (SELECT y, x1, CAST(count(*) AS BIGINT) AS n FROM l WHERE x1 IS NOT NULL GROUP BY ALL),
- tr AS (SELECT y, x1, x2, CAST(count(*) AS BIGINT) AS n FROM l WHERE x2 IS NOT NULL GROUP BY ALL)"""
+ tr AS (SELECT y, x1, x2, CAST(count(*) AS BIGINT) AS n FROM l WHERE x2 IS NOT NULL GROUP BY ALL),
+ tb AS (SELECT y, x1, CAST(coalesce(x2, {K}) AS INTEGER) AS x2, CAST(count(*) AS BIGINT) AS n FROM l WHERE x1 IS NOT NULL GROUP BY ALL)"""
 
 
 def kt(n: str = "n", v: int = V) -> str:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyflow.functions import layered
+from tallyflow.functions import layered, moments
 from tallyflow.functions.special import LN2, kt_state_bits, lgamma, log2_choose
 from tallyflow.operators import context_tree, counting, entropy, families, ordered, pooled, profiles, sampling, tokenizer, vocabulary
 
@@ -93,7 +93,7 @@ def test_mass_quantiles_over_the_whole_vocabulary(spark):
 
 
 def test_layered_queries_average_over_all_depths(spark, tmp_path):
-    from tallyflow.plans import pair_queries
+    from tallyflow.plans import layered_queries
 
     spark.createDataFrame([(1, "ab ab ba ab " * 3)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     syms = ["ab", " ", "ab", " ", "ba", " ", "ab", " "] * 3
@@ -102,15 +102,31 @@ def test_layered_queries_average_over_all_depths(spark, tmp_path):
         after.setdefault(x, {}).setdefault(y, 0)
         after[x][y] += 1
     rank = {" ": 0, "ab": 1, "ba": 2}
-    want = {(rank[x], c): p for x, ys in after.items() for c, p in layered.predictive(list(ys.values()), 17, 13).items()}
-    got = {(r["x1"], r["c"]): r["p"] for r in pair_queries.QUERIES["layered_predictive"](spark, str(tmp_path)).collect()}
+    want = {(rank[x], c): p for x, ys in after.items() for c, p in layered.predictive(list(ys.values()), 65).items()}
+    got = {(r["x1"], r["c"]): r["p"] for r in layered_queries.QUERIES["layered_predictive"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want)
-    whole = {}
-    for y in syms[1:]:
-        whole[y] = whole.get(y, 0) + 1
-    root, kids = layered.log2_q(list(whole.values()), 17, 13), sum(layered.log2_q(list(ys.values()), 17, 13) for ys in after.values())
-    tree = pair_queries.QUERIES["layered_tree"](spark, str(tmp_path)).first()
-    assert tree["tree_bits"] == pytest.approx(1 - np.logaddexp2(root, kids), abs=1e-3)
+    assert layered.default_depths(65) == 20
+
+    def at(context):
+        """Successors of a context, nearest symbol first, over positions that have two symbols before them."""
+        counts = {}
+        for i in range(2, len(syms)):
+            if tuple(syms[i - k - 1] for k in range(len(context))) == context:
+                counts[syms[i]] = counts.get(syms[i], 0) + 1
+        return layered.log2_q(list(counts.values()), 65) if counts else None
+
+    def beta(context):
+        own = at(context)
+        if own is None:
+            return 0.0
+        return own if len(context) == 2 else np.logaddexp2(own, sum(beta((*context, s)) for s in sorted(set(syms)))) - 1
+
+    tree = layered_queries.QUERIES["layered_tree"](spark, str(tmp_path)).first()
+    assert tree["tree_bits"] == pytest.approx(-beta(()), abs=2e-3)
+    family = {r["m"]: r["bits"] for r in layered_queries.QUERIES["layered_state_family"](spark, str(tmp_path)).collect()}
+    assert family[64] == pytest.approx(-sum(layered.log2_q(list(ys.values()), 65) for ys in after.values()), abs=2e-3)
+    products = {(r["m1"], r["m2"]): r["bits"] for r in layered_queries.QUERIES["layered_product_family"](spark, str(tmp_path)).collect()}
+    assert products[16, 0] == pytest.approx({r: b for r, b in family.items()}[16], abs=2e-3)
 
 
 def test_family_identities(spark):
@@ -200,20 +216,41 @@ def test_layered_small_cases():
         layered.log2_q([1, 1, 1], 2)
 
 
-def test_layered_moments_do_not_depend_on_the_grid(monkeypatch):
-    a = layered.log2_q_levels([3000, 40, 1], 64, 3)
-    layered._moments.cache_clear()
-    monkeypatch.setattr(layered, "STEP", 0.05)
-    b = layered.log2_q_levels([3000, 40, 1], 64, 3)
-    layered._moments.cache_clear()
-    assert np.allclose(a, b, atol=1e-7)
+def test_moments_equal_plain_sums_layer_by_layer():
+    step = 0.02
+    v = np.arange(-2500, 400) * step
+    u = np.arange(-5000, 2000) * step
+    for r in (0, 3, 40):
+        kernel = (r + 1) * v - np.exp(v)
+        last = math.lgamma(r + 1) - (r + 1) * np.logaddexp(0, u)
+        scorer = layered.Scorer(9, 3, layered._direct(3))
+        for layer in (2, 3):
+            at = np.arange(2600, 5600, 300)
+            part = np.array([last[i - 2500 : i + 400] + kernel for i in at])
+            want = part.max(1) + np.log(step * np.exp(part - part.max(1, keepdims=True)).sum(1))
+            got = scorer._ln_phi(np.tile(u[at], (2, 1)), np.array([r]))[layer - 2, :, 0]
+            assert np.allclose(got, want, atol=1e-7)
+            full = np.full(len(u), np.nan)
+            for i in range(2500, len(u) - 400):
+                p = last[i - 2500 : i + 400] + kernel
+                full[i] = p.max() + math.log(step * np.exp(p - p.max()).sum())
+            # Left of what was computed ln phi is constant, right of it unused.
+            full[:2500] = (layer) * math.lgamma(r + 1)
+            full[len(u) - 400 :] = full[len(u) - 401]
+            last = full
+
+
+def test_a_distributed_table_gives_what_single_columns_give(spark):
+    table = moments.build_distributed(spark, 4, 5000)
+    for profile, d in (([4000, 300, 77, 23, 24, 1, 1], 64), ([1, 1], 5)):
+        counts, symbols = np.unique(profile, return_counts=True)
+        assert np.allclose(layered.Scorer(d, 4, table).levels(counts, symbols), layered.log2_q_levels(profile, d, 4), atol=1e-6)
 
 
 def test_layered_states(spark):
     pairs = counting.context_counts(stream(spark, TEXTS), [1])
-    states = profiles.state_profiles(pairs, ["x1"])
-    got = layered.state_bits(states, [], 5, 3).first()
-    want = sum(-layered.log2_q(list(r["profile"]), 5, 3) for r in states.collect())
+    got = layered.state_bits(profiles.state_classes(pairs, ["x1"]), [], 5, 3).first()
+    want = sum(-layered.log2_q(list(r["profile"]), 5, 3) for r in profiles.state_profiles(pairs, ["x1"]).collect())
     assert got["bits"] == pytest.approx(want)
 
 
