@@ -86,17 +86,19 @@ QUERIES = {
     "layered_nations": _nations,
 }
 
-# phi of layers 1 to 3 over Gamma(r + 1)^l on a grid of u (step 0.04) by plain sums over v, and the integral over u.
-_PHI = """k AS (SELECT n_regionkey AS region, n_nationkey, count(*) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
- rs AS (SELECT DISTINCT m AS r FROM k UNION SELECT 0), vs AS (SELECT unnest(range(-900, 250)) AS j), kr AS (SELECT r, j, (r + 1) * j * 0.04 - exp(j * 0.04) - lgamma(r + 1) AS e FROM rs, vs),
- p1 AS (SELECT r, i, -(r + 1) * ln(1 + exp(i * 0.04)) AS f FROM rs, (SELECT unnest(range(-2800, 1300)) AS i)),
- p2 AS (SELECT kr.r, i, ln(sum(0.04 * exp(e + -(kr.r + 1) * ln(1 + exp((i + j) * 0.04))))) AS f FROM kr, (SELECT unnest(range(-1850, 1000)) AS i) GROUP BY kr.r, i),
- p3 AS (SELECT kr.r, g.i, ln(sum(0.04 * exp(e + coalesce(p2.f, 0)))) AS f FROM kr CROSS JOIN (SELECT unnest(range(-950, 700)) AS i) g LEFT JOIN p2 ON p2.r = kr.r AND p2.i = g.i + kr.j GROUP BY kr.r, g.i),
+# phi of layers 1 to 3 over Gamma(r + 1)^l on a grid of u (step 0.06) by plain sums over v, and the integral over u.
+_PHI = """k AS MATERIALIZED (SELECT n_regionkey AS region, n_nationkey, count(*) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+ rs AS (SELECT DISTINCT m AS r FROM k UNION SELECT 0), vs AS (SELECT unnest(range(-600, 165)) AS j), kr AS MATERIALIZED (SELECT r, j, (r + 1) * j * 0.06 - exp(j * 0.06) - lgamma(r + 1) AS e FROM rs, vs WHERE r < 20 OR j > -130),
+ p1 AS (SELECT r, i, -(r + 1) * ln(1 + exp(i * 0.06)) AS f FROM rs, (SELECT unnest(range(-1900, 850)) AS i)),
+ t2 AS MATERIALIZED (SELECT kr.r, i, e - (kr.r + 1) * ln(1 + exp((i + j) * 0.06)) AS x FROM kr, (SELECT unnest(range(-1250, 670)) AS i)),
+ p2 AS MATERIALIZED (SELECT r, i, m + ln(sum(0.06 * exp(x - m))) AS f FROM t2 JOIN (SELECT r, i, max(x) AS m FROM t2 GROUP BY r, i) USING (r, i) GROUP BY r, i, m),
+ t3 AS MATERIALIZED (SELECT kr.r, g.i, e + p2.f AS x FROM kr CROSS JOIN (SELECT unnest(range(-640, 470)) AS i) g JOIN p2 ON p2.r = kr.r AND p2.i = g.i + kr.j),
+ p3 AS MATERIALIZED (SELECT r, i, m + ln(sum(0.06 * exp(x - m))) AS f FROM t3 JOIN (SELECT r, i, max(x) AS m FROM t3 GROUP BY r, i) USING (r, i) GROUP BY r, i, m),
  s AS (SELECT region, sum(m) AS n, count(*) AS c FROM k GROUP BY region),
  pl AS (SELECT 1 AS l, * FROM p1 UNION ALL SELECT 2, * FROM p2 UNION ALL SELECT 3, * FROM p3),
  g AS (SELECT k.region, l, i, sum(f + l * lgamma(m + 1)) AS f FROM k JOIN pl ON pl.r = k.m GROUP BY ALL),
- w AS (SELECT g.region, g.l, g.f + (25 - c) * z.f + n * g.i * 0.04 - lgamma(n) AS e, n FROM g JOIN s USING (region) JOIN pl z ON z.l = g.l AND z.i = g.i AND z.r = 0 WHERE g.i BETWEEN -900 AND 450),
- q AS (SELECT region, l, any_value(n) AS n, max(m) + ln(sum(0.04 * exp(e - m))) AS q FROM (SELECT *, max(e) OVER (PARTITION BY region, l) AS m FROM w) GROUP BY region, l)"""
+ w AS (SELECT g.region, g.l, g.f + (25 - c) * z.f + n * g.i * 0.06 - lgamma(n) AS e, n FROM g JOIN s USING (region) JOIN pl z ON z.l = g.l AND z.i = g.i AND z.r = 0 WHERE g.i BETWEEN -600 AND 300),
+ q AS (SELECT region, l, any_value(n) AS n, max(m) + ln(sum(0.06 * exp(e - m))) AS q FROM (SELECT *, max(e) OVER (PARTITION BY region, l) AS m FROM w) GROUP BY region, l)"""
 
 ORACLE = {
     "layered_nations": f"WITH {_PHI}, a2 AS (SELECT region, n, l, (mq + ln(sum(exp(q - mq)) OVER (PARTITION BY region ORDER BY l)) - ln(l)) AS a FROM (SELECT *, max(q) OVER (PARTITION BY region) AS mq FROM q)) SELECT region, CAST(max(n) AS BIGINT) AS n, round(max(CASE WHEN l = 1 THEN -a / ln(2.0) END), 4) AS bits1, round(max(CASE WHEN l = 2 THEN -a / ln(2.0) END), 4) AS bits2, round(max(CASE WHEN l = 3 THEN -a / ln(2.0) END), 4) AS bits3 FROM a2 GROUP BY region",
