@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.sources.tables import cut
+
 #: How the state of each kind of aggregate is made from rows and from other states.
 _FIRST = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
 def distinct_records(df: DataFrame, record_id: str, columns: Mapping[str, Column]) -> DataFrame:
-    """One row per non-null ``record_id``; of copies that differ, each column's smallest value holds.
+    """One row per non-null ``record_id``; of copies that differ the smallest one holds as a whole.
 
-    ``min`` over fixed-width columns keeps the aggregation in the hash operator, which spills to
-    sorted runs when it outgrows its memory.
+    Copies are compared by the columns in their order. A single column of fixed width stays in the hash
+    operator, which spills to sorted runs when it outgrows its memory; ask for no more columns than needed.
     """
     named = df.filter(F.col(record_id).isNotNull()).select(F.col(record_id).alias("_id"), *[c.alias(k) for k, c in columns.items()])
-    return named.groupBy("_id").agg(*[F.min(k).alias(k) for k in columns])
+    if len(columns) == 1:
+        return named.groupBy("_id").agg(*[F.min(k).alias(k) for k in columns])
+    return named.groupBy("_id").agg(F.min(F.struct(*columns)).alias("_r")).select("_id", "_r.*")
+
+
+def partitions_of(df: DataFrame) -> int:
+    """An upper bound of the partitions that ``df`` runs in.
+
+    Behind an exchange that is the session's number of shuffle partitions or the number asked for; a plan
+    without one has as many as its scans give.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" not in plan.toString():
+        return df._jdf.queryExecution().toRdd().getNumPartitions()
+    asked = [int(n) for n in re.findall(r"partitioning\([^\n]*?(\d+)\), (?:REPARTITION_BY_NUM|ENSURE_REQUIREMENTS|REPARTITION_BY_COL)", plan.toString())]
+    return max([int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *asked])
 
 
 def tree_aggregate(df: DataFrame, key: str, aggregates: Mapping[str, tuple[str, str]], fan_in: int = 16, chunks: int | None = None) -> DataFrame:
@@ -35,8 +53,7 @@ def tree_aggregate(df: DataFrame, key: str, aggregates: Mapping[str, tuple[str,
     Result: ``key`` and the result columns. Columns of the input that are not named are dropped
     first, so clashing extra names do no harm.
     """
-    spark = df.sparkSession
-    chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks or partitions_of(df)
     inputs = dict.fromkeys(c for _, c in aggregates.values())
     state = df.select(F.col(key).alias("_key"), F.spark_partition_id().alias("_chunk"), *[F.col(c).alias(f"_in_{c}") for c in inputs])
     first, span = True, 1
@@ -55,9 +72,10 @@ def tree_aggregate(df: DataFrame, key: str, aggregates: Mapping[str, tuple[str,
 def heavy_keys(per_key: DataFrame, key: str, weight: str, share_percent: int, include_null: bool = False) -> DataFrame:
     """The keys with at least ``share_percent`` % of the whole weight, with ``share`` as a double.
 
-    The whole is a scalar subquery over the per-key rows (Spark reuses their exchange). With
+    The per-key rows are written once, since the whole and the comparison both read them. With
     ``include_null`` the null key counts towards the whole, but it is never named as heavy.
     """
+    per_key = cut(per_key, "keys")
     counted = per_key if include_null else per_key.filter(F.col(key).isNotNull())
     whole = counted.agg(F.sum(weight).alias("w"))
     marked = per_key.filter(F.col(key).isNotNull()).withColumn("_w", whole.scalar())

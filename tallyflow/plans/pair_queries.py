@@ -9,7 +9,6 @@ from tallyflow.functions.special import kt_state_bits, log2
 from tallyflow.operators import counting, entropy, ordered, pair_models, pooled, sampling, tokenizer, vocabulary
 from tallyflow.plans.model_queries import _rounded
 from tallyflow.plans.shared import K, RANKED, TOK, V, capped_pairs, kt, tokens, vocab
-from tallyflow.sources.streams import positions
 from tallyflow.sources.tables import cut, read_table
 from tallyflow.streaming import counts as streamed
 
@@ -218,7 +217,7 @@ QUERIES = {
     "event_contexts": lambda s, d: ordered.lagged_counts(read_table(s, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", 2),
     "order_status_pairs": lambda s, d: ordered.lagged_counts(read_table(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderstatus", 1),
     "returnflag_pairs": lambda s, d: ordered.lagged_counts(read_table(s, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], "l_returnflag", 1),
-    "global_pair_counts": lambda s, d: ordered.lagged_counts(positions(tokens(s, d), "doc_id"), [], ["doc_id", "pos"], "sym", 1),
+    "global_pair_counts": lambda s, d: ordered.global_pair_counts(tokens(s, d), "doc_id"),
     "streaming_counts": lambda s, d: streamed.incremental_counts(s, f"{d}/events.parquet", ["event_type"]),
     "streaming_windows": lambda s, d: streamed.windowed_counts(s, f"{d}/events.parquet", "ts", "event_type"),
     "streaming_causal": lambda s, d: streamed.causal_scores(s, f"{d}/documents.parquet", "kind"),

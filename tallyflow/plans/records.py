@@ -26,9 +26,11 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def found_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """The heavy contexts and profiles."""
-    ctx = heavy_keys(contexts(spark, sf), "k1", "records", HEAVY_PERCENT, include_null=True)
-    prof = heavy_keys(profiles(spark, sf), "profile_id", "records", HEAVY_PERCENT)
+    """The heavy contexts and profiles, by their distinct records alone."""
+    rows = distinct_records(read_table(spark, sf, "sparse_counts"), "count_id", {"k1": F.col("k1").cast("bigint")})
+    ctx = heavy_keys(tree_aggregate(rows, "k1", {"records": ("count", "_id")}), "k1", "records", HEAVY_PERCENT, include_null=True)
+    rows = distinct_records(read_table(spark, sf, "context_profiles"), "ctx_id", {"profile_id": F.col("profile_id")})
+    prof = heavy_keys(tree_aggregate(rows, "profile_id", {"records": ("count", "_id")}), "profile_id", "records", HEAVY_PERCENT)
     return ctx.select(F.lit("context").alias("kind"), F.col("k1").alias("key_value")).unionByName(prof.select(F.lit("profile").alias("kind"), F.col("profile_id").alias("key_value")))
 
 
