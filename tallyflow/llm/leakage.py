@@ -320,7 +320,8 @@ def search(found: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, c
             owner = np.repeat(np.arange(len(texts)), [len(v) for v in views])
             place = np.concatenate([np.arange(len(v)) for v in views]) if views else np.zeros(0, int)
             every = np.concatenate(views) if views else np.zeros((0, PASSAGE), np.int32)
-            met: dict[tuple[int, int], list] = {}
+            met: list[np.ndarray] = []
+            longest = max(map(len, texts), default=0) + 1
             for lo in range(0, len(every), TILE):
                 part = every[lo : lo + TILE]
                 latent = _project(part, space)
@@ -338,9 +339,13 @@ def search(found: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, c
                             pair = best.setdefault((docs[owner[lo + r]], int(item)), [0, 0, 0.0, 0.0])
                             pair[0] = max(pair[0], n)
                     if paraphrases:
-                        for o, item, at in np.unique(np.c_[owner[lo + rows], items.at[cols, 0], place[lo + rows]], axis=0).tolist():
-                            met.setdefault((o, item), []).append(at)
-            for (o, item), places in met.items():
+                        # (text, item, place) in one number, so that what is near the same item lies together.
+                        met.append(np.unique((owner[lo + rows].astype(np.int64) * len(items.words) + items.at[cols, 0]) * longest + place[lo + rows]))
+            keys = np.concatenate(met) if met else np.zeros(0, np.int64)
+            keys.sort()
+            for group in np.split(keys, np.flatnonzero(np.diff(keys // longest)) + 1) if len(keys) else []:
+                o, item = divmod(int(group[0]) // longest, len(items.words))
+                places = np.unique(group % longest).tolist()
                 # The passages near the item with what stands beside them.
                 near_item = np.zeros(len(texts[o]), bool)
                 inside = np.zeros(len(texts[o]), bool)
