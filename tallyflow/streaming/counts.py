@@ -43,15 +43,16 @@ def incremental_counts(spark: SparkSession, path: str, keys: list[str], files_a_
     return spark.read.parquet(base).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
-def windowed_counts(spark: SparkSession, path: str, time: str, key: str, width: str = "1 day", late: str = "30 days") -> DataFrame:
-    """``start, key, n``: tumbling windows of event time by a stateful aggregation with a watermark.
+def windowed_counts(spark: SparkSession, path: str, time: str, key: str, width: str = "1 day", late: str | None = None) -> DataFrame:
+    """``start, key, n``: tumbling windows of event time by a stateful aggregation.
 
-    Update mode writes a window whenever it changes; of its versions the largest count holds. Records later than the
-    watermark are dropped by the engine, so ``late`` has to cover the lateness that counts.
+    Update mode writes a window whenever it changes; of its versions the largest count holds. Every record counts,
+    however late, and the state is a row per window and key; with ``late`` a watermark bounds the state instead,
+    and the engine drops records that are later than that.
     """
     base = f"{work_dir(spark)}/windows-{uuid.uuid4().hex}"
     timed = _stream(spark, path).withColumn(time, F.col(time).cast("timestamp"))
-    windows = timed.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"))
+    windows = (timed.withWatermark(time, late) if late else timed).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"))
     counted = windows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), key, "n")
 
     def keep(batch: DataFrame, number: int) -> None:

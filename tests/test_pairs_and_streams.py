@@ -149,3 +149,11 @@ def test_cut_tables_are_dropped(spark):
     assert os.listdir(where)
     drop_cut_tables(spark)
     assert not os.path.exists(where)
+
+
+def test_windows_count_records_however_late(spark, tmp_path):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    for k, rows in enumerate(([(day(0), "a"), (day(200), "a")], [(day(0), "a"), (day(199), "b")], [(day(0), "a")])):
+        spark.createDataFrame(rows, "ts timestamp, kind string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    got = {(r["start"], r["kind"]): r["n"] for r in counts.windowed_counts(spark, f"{tmp_path}/t", "ts", "kind").collect()}
+    assert got == {(day(0), "a"): 3, (day(200), "a"): 1, (day(199), "b"): 1}
